@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from graphloom.llm.common import fresh, pieces
 
@@ -184,7 +185,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
 def decode(rows: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
     """rows with a binary column of the bytes of their ids (null where the ids are), named bytes or _bytes if taken."""
     name = fresh(rows, "bytes")
-    kind = rows.schema.add(name, "binary")
+    kind = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(path, pattern)

@@ -15,6 +15,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.language_id import held_out, language_id
+
+    docs = documents(spark, sf_dir)
+    found = language_id(docs.select("doc_id", "text", "lang"))
+    return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.mixing import mix
 
@@ -54,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op8_bpe, op9_chat, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op8_bpe, op9_chat, op10_simhash)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
