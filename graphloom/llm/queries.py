@@ -47,6 +47,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op7_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality_lm import quality_lm
+
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
+    return quality_lm(documents(spark, sf_dir), trusted)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from graphloom.llm.bpe import encode_decode
@@ -68,7 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_substring_dedup, op8_bpe, op9_chat, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_substring_dedup, op7_quality_lm, op8_bpe, op9_chat, op10_simhash)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
