@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import documents, scratch
+from graphloom.llm.bpe import encode_decode
+from graphloom.llm.common import documents, scratch, settle
 from graphloom.llm.exact_dedup import drop_copies
+from graphloom.llm.language_id import drop_unknown
+from graphloom.llm.mixing import mixed
 from graphloom.llm.simhash import drop_near
 
+#: The vocabulary that the last stage encodes with.
+VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language, or none with half of their letters, go."""
+    settle(spark)
+    return drop_unknown(docs)
+
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
@@ -19,8 +32,20 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near(docs)
 
 
-STAGES = [("exact_dedup", exact), ("simhash", near)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are taken to their target weights: documents are left out, cut at a block's end, or repeated."""
+    return mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's ids, and the digest of the bytes they decode to."""
+    settle(spark)
+    return encode_decode(docs, VOCABULARY, PATTERN, with_ids=True)
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash", near), ("mixing", mix), ("bpe", encode)]
 
+#: Learned languages and fingerprints can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
