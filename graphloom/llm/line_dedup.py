@@ -36,8 +36,8 @@ def key_of(line: bytes) -> bytes:
 
 
 def is_long(key: bytes, least: int) -> bool:
-    """At least so many code points: bytes that don't continue one."""
-    return len(key) >= least and (key.isascii() or len(key) - sum(0x80 <= b < 0xC0 for b in key) >= least)
+    """At least so many code points."""
+    return len(key) >= least and (len(key) >= 4 * least or key.isascii() or len(key.decode()) >= least)
 
 
 def keys_of(text: bytes | None, least: int) -> list[bytes]:
