@@ -1,90 +1,101 @@
 """Substring deduplication by hashing units of lines.
 
 A unit is a line, cut further so that a passage pasted into the middle of a line comes to unit edges soon: after a word
-that ends a clause, and after a word whose own hash says so (one in CUT). Both depend on the words alone, so the same
+that ends a sentence, and after a word whose own hash says so (one in CUT). Both depend on the words alone, so the same
 passage is cut the same way wherever it stands. Units are normalised (A-Z lower-cased, white space collapsed) and their
-128-bit digests grouped globally; the occurrence of the least (doc_id, unit number) is kept. Of the others those are
-removed that stand in a run of at least `min_words` words of removable units: single short units recur by chance.
-Offsets count code points of the original text.
+64-bit digests grouped globally; the occurrence in the least doc_id, and there the first, is kept. Of the others those
+are removed that stand in a run of at least `min_words` words of removable units: single short units recur by chance,
+and so would a unit whose digest collides. Offsets count code points of the original text.
 """
 
 from __future__ import annotations
 
-import functools
-import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, pieces
+from graphloom.llm.common import SPACE, binary, cut, pieces
 
 #: A passage of 50 words loses at most a unit at either end, where it is grown together with its surroundings.
-MIN_WORDS, CUT = 30, 8
-SALTS = 16
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CLAUSE = tuple(".,;:!?")
+MIN_WORDS, CUT = 30, 12
+#: Bytes of text worked on at a time.
+CHUNK = 1 << 20
+BLANK, STOP, LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256)
+BLANK[list(SPACE.encode())] = STOP[list(b".!?")] = True
+LOWER[65:91] += 32
+#: Odd multipliers by place in a word, the places beyond in turn.
+PLACE = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
 
-UNITS = "doc_id long, row long, unit int, a int, b int, words int, d1 long, d2 long"
+UNITS = "doc_id long, row long, unit int, a int, b int, words int, digest long, again boolean"
 
 
-@functools.lru_cache(1 << 16)
-def ends_unit(word: str) -> bool:
-    return word.endswith(CLAUSE) or zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % CUT == 0
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each number's bits spread over all 64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def units(text: str | None) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of each unit; only units with a word."""
-    out, words, first, last = [], [], 0, 0
+def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, unit, start, end, words, digest, again) of the units of all texts, in order.
 
-    def done() -> None:
-        if words:
-            key = " ".join(words).encode("utf-8", "surrogatepass").lower()
-            out.append((first, last, len(words), xxhash.xxh3_128_intdigest(key)))
-            words.clear()
-
-    text = text or ""
-    at = 0
-    for line in text.split("\n"):
-        for match in WORD.finditer(line):
-            word = match.group()
-            if not words:
-                first = at + match.start()
-            words.append(word)
-            last = at + match.end()
-            if ends_unit(word):
-                done()
-        done()
-        at += len(line) + 1
-    return out
+    unit numbers a text's units from 0, start and end count its code points; again: the digest was in the text before.
+    """
+    flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    blank = BLANK[flat]
+    at = np.flatnonzero(~blank)
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, np.uint64), np.zeros(0, bool))
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    size = np.diff(first, append=len(at))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    words = mixed(np.add.reduceat((LOWER[flat[at]] + 1).astype(np.uint64) * PLACE[place & 1023], first) + size.astype(np.uint64))
+    start, end = at[first], at[first + size - 1] + 1
+    line = np.cumsum(flat == 10)
+    last = STOP[flat[end - 1]] | (words % np.uint64(CUT) == 0) | (np.diff(line[start], append=-1) != 0)
+    begin = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+    count = np.diff(begin, append=len(words))
+    turn = (np.arange(len(words)) - np.repeat(begin, count)).astype(np.uint64)
+    digest = mixed(np.add.reduceat(mixed(words + (turn + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), begin) + count.astype(np.uint64))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    text = np.searchsorted(ends, start[begin], "right")
+    point = np.cumsum((flat & 0xC0) != 0x80) - 1
+    base = point[np.concatenate([[0], ends[:-1]])][text]
+    number = np.arange(len(text)) - np.searchsorted(text, text)
+    order = np.lexsort((number, digest, text))
+    again = np.zeros(len(text), bool)
+    again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    return text, number, point[start[begin]] - base, point[end[begin + count - 1] - 1] + 1 - base, count, digest, again
 
 
 def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    low = (1 << 64) - 1
-    sign = lambda x: x - (1 << 64) if x >> 63 else x
-    for batch in pieces(batches, 128):
-        rows = []
-        for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows += [(doc_id, row, k, a, b, n, sign(d & low), sign(d >> 64)) for k, (a, b, n, d) in enumerate(units(text))]
-        if rows:
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in UNITS.split(", ")])
+    for batch in pieces(batches):
+        ids, rows = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+        texts, first, size = [t or b"" for t in binary(batch.column(2))], 0, 0
+        for i, t in enumerate([*texts, b""]):
+            if i == len(texts) or size and size + len(t) > CHUNK:
+                if first < i:
+                    text, unit, a, b, words, digest, again = units(texts[first:i])
+                    text += first
+                    columns = [ids.take(pa.array(text)), pa.array(rows[text]), *(pa.array(x.astype(np.int32)) for x in (unit, a, b, words)), pa.array(digest.view(np.int64)), pa.array(again)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in UNITS.split(", ")])
+                first, size = i, 0
+            size += len(t)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, row, spans (array of a, b, words in order) for the texts that lose something. row tells rows that repeat
     a doc_id apart: the text's hash."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(exploded, UNITS)
-    rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row", "unit")
-    # First by digest alone, with partial sums on the map side: a unit that a third of the rows hold is a few rows here.
-    groups = rows.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("d1", "d2", "first")
-    groups = cut(groups).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "unit"), F.lit(SALTS)).cast("int"))
-    found = salted.join(groups, ["d1", "d2", "salt"])
-    removable = found.where(~rank.eqNullSafe(F.col("first"))).select("doc_id", "row", "unit", "a", "b", "words").distinct()
+    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    # A unit that a third of the rows hold comes here as one row of each task.
+    groups = rows.where(~F.col("again")).groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("stays")).where("n > 1").select("digest", "stays")
+    # Both sides are dealt by digest alone, so a hot digest's rows can be split at run time.
+    found = rows.join(cut(groups), "digest", "left").where(F.col("again") | (rank != F.col("stays")))
+    removable = found.select("doc_id", "row", "unit", "a", "b", "words").distinct()
     # Runs of units in a row: unit minus its number among the removable ones is the same along a run.
     along = Window.partitionBy("doc_id", "row").orderBy("unit")
     runs = removable.withColumn("run", F.col("unit") - F.row_number().over(along))
@@ -95,10 +106,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_removed (spans), words_removed, spans for every row of docs (doc_id long, text string).
 
-    A span is (a, b, words): code points a to b of the original text are a passage whose units all stand earlier, in a
-    smaller (doc_id, unit) or earlier in the text itself. Null doc_ids rank last. Null, empty and blank texts lose
-    nothing. Rows that repeat doc_id and text are one text and rank alike; other rows that repeat a doc_id rank by the
-    text's hash. An empty table gives an empty result; other columns are not read.
+    A span is (a, b, words): code points a to b of the original text are a passage whose units all stand in a document
+    of smaller doc_id or earlier in the text itself. Null doc_ids rank last. Null, empty and blank texts lose nothing.
+    Rows that repeat a doc_id are one document: a passage that they share stays in each. An empty table gives an empty
+    result; other columns are not read.
     """
     spans = repeated_spans(docs, min_words).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
     ids = docs.select("doc_id", F.xxhash64("text").alias("_own"))
