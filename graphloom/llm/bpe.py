@@ -16,6 +16,7 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -160,11 +161,11 @@ def coded(path: str, pattern: str, with_ids: bool):
                 sizes.append(len(ids))
                 hashes.append(hashlib.sha256(",".join(map(one.label.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(one.decode(ids)).hexdigest())
-                lists.append(ids if with_ids else None)
+                lists.append(np.array(ids, "<i4").tobytes() if with_ids else None)
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                columns.append(pa.array(lists, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -172,25 +173,26 @@ def coded(path: str, pattern: str, with_ids: bool):
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) for every row of docs (doc_id long, text string).
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, packed as 4-byte little-endian integers) for every row of
+    docs (doc_id long, text string).
 
     Null text counts as empty: no token. Rows that repeat a doc_id are encoded each. An empty table gives an empty
     result; other columns are not read. path is a vocabulary that every executor can open, pattern the regular
     expression whose matches are encoded separately.
     """
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(coded(path, pattern, with_ids), kind)
 
 
 def decode(rows: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
-    """rows with a binary column of the bytes of their ids (null where the ids are), named bytes or _bytes if taken."""
+    """rows with a binary column of the bytes of their packed ids (null where these are), named bytes or _bytes if taken."""
     name = fresh(rows, "bytes")
     kind = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(path, pattern)
         for batch in pieces(batches, 256):
-            found = [None if ids is None else one.decode(ids) for ids in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+            found = [None if ids is None else one.decode(np.frombuffer(ids, "<i4").tolist()) for ids in batch.column(batch.schema.get_field_index(column)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, name])
 
     return rows.mapInArrow(run, kind)
