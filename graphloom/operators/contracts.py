@@ -19,8 +19,8 @@ CONSUMER = ("decode", "receive", "subscribe", "read", "unmarshal", "get")
 
 
 def constants_of(symbols: DataFrame) -> DataFrame:
-    """Constants with a string value, from the symbols' signatures (name = "value")."""
-    value = F.regexp_extract("signature", r'=\s*["`](.*)["`]\s*$', 1)
+    """Constants with a string value: their signature is its literal."""
+    value = F.regexp_extract("signature", r'^["`](.*)["`]$', 1)
     rows = symbols.where("kind = 'const' and not is_test").select("repo", "package_path", F.col("qualified_name").alias("ref"), "name", value.alias("value"))
     return rows.where("value <> ''")
 
