@@ -74,10 +74,11 @@ def without(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> Data
 
     The ids are broadcast when there are at most `limit` of them, counted first; else both sides are shuffled.
     """
-    ids = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    gone = fresh(docs, "_gone")
+    ids = cut(ids.select(F.col("doc_id").alias(gone)).distinct())
     if ids.limit(limit + 1).count() <= limit:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -163,13 +163,14 @@ def mixed(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: int =
     A part is the document's words joined by a space. doc_ids should be unique here: the plan is joined back by doc_id,
     and rows that repeat one are taken as planned for each of them, with equal plans taken once.
     """
-    chosen = mix(docs, weights, ceiling, seed).where("taken > 0").select(F.col("doc_id").alias("_id"), "passes", "from_word", "to_word", "wrap_to", F.col("size").alias("_size")).distinct()
-    text = fresh(docs, "_text")
-    whole = (F.col("to_word") - F.col("from_word")) == F.col("_size")
-    tokens = F.regexp_extract_all("text", F.lit(WORD_CLASS), F.lit(0))
+    plan, text = fresh(docs, "_plan"), fresh(docs, "_text")
+    chosen = mix(docs, weights, ceiling, seed).where("taken > 0").select(F.struct("doc_id", "passes", "from_word", "to_word", "wrap_to", "size").alias(plan)).distinct()
+    p = lambda name: F.col(plan)[name]
+    tokens = F.regexp_extract_all(docs["text"], F.lit(WORD_CLASS), F.lit(0))
     piece = lambda a, b: F.array_join(F.slice(tokens, a + F.lit(1), b - a), " ")
-    part = F.when(whole, F.col("text")).when(F.col("to_word") > F.col("from_word"), piece(F.col("from_word").cast("int"), F.col("to_word").cast("int")))
-    wrap = F.when(F.col("wrap_to") >= F.col("_size"), F.col("text")).when(F.col("wrap_to") > 0, piece(F.lit(0), F.col("wrap_to").cast("int")))
-    copies = F.filter(F.concat(F.array_repeat(F.col("text"), F.col("passes").cast("int")), F.array(part, wrap)), lambda x: x.isNotNull())
-    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).where(words(F.col("text")) == F.col("_size"))
-    return joined.withColumn(text, F.explode(copies)).select(*[F.col(text).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    whole = (p("to_word") - p("from_word")) == p("size")
+    part = F.when(whole, docs["text"]).when(p("to_word") > p("from_word"), piece(p("from_word").cast("int"), p("to_word").cast("int")))
+    wrap = F.when(p("wrap_to") >= p("size"), docs["text"]).when(p("wrap_to") > 0, piece(F.lit(0), p("wrap_to").cast("int")))
+    copies = F.filter(F.concat(F.array_repeat(docs["text"], p("passes").cast("int")), F.array(part, wrap)), lambda x: x.isNotNull())
+    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(p("doc_id"))).where(words(docs["text"]) == p("size"))
+    return joined.withColumn(text, F.explode(copies)).select(*[F.col(text).alias("text") if c == "text" else docs[c] for c in docs.columns])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACE, binary, cut, pieces
+from graphloom.llm.common import SPACE, binary, cut, fresh, pieces
 
 #: A passage of 50 words loses at most a unit at either end, where it is grown together with its surroundings.
 MIN_WORDS, CUT = 30, 12
@@ -122,10 +122,12 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def cut_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the passages taken out of their texts; all columns stay, texts without a passage are as they were."""
-    spans = repeated_spans(docs, min_words).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
+    lost = fresh(docs, "_lost")
+    spans = repeated_spans(docs, min_words).select(F.struct("doc_id", "row", "spans").alias(lost))
+    l = F.col(lost)  # noqa: E741
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(l["doc_id"]) & (F.xxhash64(docs["text"]) == l["row"]), "left")
     state = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"))
-    take = lambda s, x: F.struct(F.concat(s["s"], F.substring(F.col("text"), s["at"] + F.lit(1), x["a"] - s["at"])).alias("s"), x["b"].alias("at"))
-    rest = lambda s: F.concat(s["s"], F.substring(F.col("text"), s["at"] + F.lit(1), F.length("text")))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", state, take, rest))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    take = lambda s, x: F.struct(F.concat(s["s"], F.substring(docs["text"], s["at"] + F.lit(1), x["a"] - s["at"])).alias("s"), x["b"].alias("at"))
+    rest = lambda s: F.concat(s["s"], F.substring(docs["text"], s["at"] + F.lit(1), F.length(docs["text"])))
+    text = F.when(l.isNull(), docs["text"]).otherwise(F.aggregate(l["spans"], state, take, rest))
+    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
