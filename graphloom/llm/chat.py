@@ -18,20 +18,22 @@ CHUNK = 256
 OPEN, CLOSE = "<|{role}|>\n", "\n<|end|>\n"
 
 
+def ordered(turns: DataFrame) -> DataFrame:
+    """conv_id, chunk, turn, role, text and the hashes p, q of what was said; null and the empty string differ."""
+    parts = [F.col("role").isNull(), F.col("text").isNull(), "role", "text"]
+    return turns.select("conv_id", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK).alias("chunk"), "turn", "role", "text", F.xxhash64(F.lit(1), *parts).alias("p"), F.xxhash64(F.lit(2), *parts).alias("q"))
+
+
 def numbered(turns: DataFrame) -> DataFrame:
-    """conv_id, k (from 1), a, b (rolling hash of the first k turns), role, text, chunk; ordered within chunks first."""
-    chunk = F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK).alias("chunk")
-    rows = turns.select("conv_id", "turn", "role", "text", chunk)
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    sums = cut(rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("c")))
+    """conv_id, chunk, k (from 1) and x, y, the hashes of (k, role, text). Texts aren't shuffled."""
+    rows = ordered(turns).select("conv_id", "chunk", "turn", "role", "p", "q")
+    sums = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("c"))
     ahead = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv_id").alias("_c"), F.col("chunk").alias("_k"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("before"))
-    within = Window.partitionBy("conv_id", "chunk").orderBy(*order)
+    within = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "p", "q")
     placed = rows.withColumn("at", F.row_number().over(within))
     placed = placed.join(sums, placed["conv_id"].eqNullSafe(F.col("_c")) & (F.col("chunk") == F.col("_k"))).withColumn("k", F.col("at") + F.col("before"))
-    # Null and the empty string are different turns.
-    parts = [F.col("k"), F.col("role").isNull(), F.col("text").isNull(), "role", "text"]
-    return placed.select("conv_id", "chunk", "k", "role", "text", F.xxhash64(F.lit(1), *parts).alias("x"), F.xxhash64(F.lit(2), *parts).alias("y"))
+    return placed.select("conv_id", "chunk", "k", F.xxhash64("k", "p").alias("x"), F.xxhash64("k", "q").alias("y"))
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
@@ -65,16 +67,17 @@ def rendered(role: Column, text: Column) -> Column:
 def chat(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, rendered for each maximal conversation of turns (conv_id, turn, role, text).
 
-    Turns stand by turn, then role, then text, nulls first; rows that repeat all of these count each. Null role and text
-    are rendered as empty strings but differ from them in comparison. Null conv_id is one conversation. Conversations
-    compare by the order of their turns, not by the turns' numbers. An empty table gives an empty result; other columns
-    are not read. A rendered conversation is one string and must fit a row.
+    Turns stand by turn, then role, nulls first, then by a hash of what was said; rows that repeat all of these count
+    each. Null role and text are rendered as empty strings but differ from them in comparison. Null conv_id is one
+    conversation. Conversations compare by the order of their turns, not by the turns' numbers. An empty table gives an
+    empty result; other columns are not read. A rendered conversation is one string and must fit a row.
     """
-    rows = cut(numbered(turns))
-    keep = maximal(cut(prefixes(rows)))
-    keep = keep.withColumnRenamed("conv_id", "_c")
+    rolling = cut(prefixes(cut(numbered(turns))))
+    keep = maximal(rolling).withColumnRenamed("conv_id", "_c")
+    rows = ordered(turns)
     kept = rows.join(keep, rows["conv_id"].eqNullSafe(F.col("_c")), "left_semi")
-    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", rendered(F.col("role"), F.col("text")).alias("s")))), lambda x: x["s"]), "")
-    chunks = kept.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), part.alias("s"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "s"))), lambda x: x["s"]), "")
-    return chunks.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), whole.alias("rendered"))
+    said = F.struct(F.col("turn").isNotNull().alias("a"), "turn", F.col("role").isNotNull().alias("b"), "role", "p", "q", rendered(F.col("role"), F.col("text")).alias("s"))
+    joined = lambda items: F.array_join(F.transform(items, lambda x: x["s"]), "")
+    # Dealt by conversation once; chunks and then whole conversations are put together there.
+    chunks = kept.select("conv_id", "chunk", said.alias("said")).repartition("conv_id").groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), joined(F.array_sort(F.collect_list("said"))).alias("s"))
+    return chunks.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), joined(F.array_sort(F.collect_list(F.struct("chunk", "s")))).alias("rendered"))
