@@ -162,28 +162,28 @@ def cycle_core(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return core
 
 
-def cycles(g: Graph, edge_type: str, max_length: int = 6, limit: int = 1000) -> DataFrame:
-    """cycle (array of refs, the least first), length: distinct simple cycles of up to max_length edges of one type.
+def cycles(g: Graph, edge_type: str, max_length: int | None = None, limit: int = 1000) -> DataFrame:
+    """cycle (array of refs, the least first), length: distinct simple cycles of one edge type.
 
     Paths are extended level by level from their least node, through larger nodes only, and close when they come back;
     so each cycle is found once, in its canonical rotation. The edges are cut down to the cycles' core first. The report
-    has `limit` cycles at most, the shortest first; truncated says whether there are more.
+    has `limit` cycles at most, the shortest first, and the search ends at the length that passes it (or max_length);
+    truncated says whether there are more.
     """
     core = cycle_core(hops(edge_filter(g.edges, (edge_type,)), False))
+    first = F.get("path", F.lit(0))
+    found, more, length = core.where("false").select(F.array("near").alias("cycle"), F.lit(0).alias("length")), False, 0
     with kept(core, "near") as hop:
-        paths = core.where("far >= near").select(F.array("near").alias("path"), F.col("far").alias("last"))
-        found = None
-        for length in range(1, max_length + 1):
-            paths = cut(paths)
-            closed = paths.where(F.col("last") == F.get("path", F.lit(0))).select(F.col("path").alias("cycle"), F.lit(length).alias("length"))
-            found = closed if found is None else found.unionAll(closed)
-            if length == max_length:
+        paths = cut(core.where("far >= near").select(F.array("near").alias("path"), F.col("far").alias("last")))
+        while not paths.isEmpty():
+            length += 1
+            found = cut(found.unionAll(paths.where(F.col("last") == first).select(F.col("path").alias("cycle"), F.lit(length).alias("length"))))
+            more = found.limit(limit + 1).count() > limit
+            if more or length == max_length:
                 break
-            going = paths.where(F.col("last") != F.get("path", F.lit(0)))
-            paths = going.join(hop, going["last"] == hop["near"]).where((F.col("far") >= F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("last")))
-            paths = paths.select(F.array_append("path", F.col("last")).alias("path"), F.col("far").alias("last")).where((F.col("last") == F.get("path", F.lit(0))) | ~F.array_contains("path", F.col("last")))
-        found = cut(found)
-    more = found.limit(limit + 1).count() > limit
+            going = paths.where(F.col("last") != first).select(F.array_append("path", F.col("last")).alias("path"), F.col("last").alias("near"))
+            longer = going.join(hop, "near").where((F.col("far") == first) | (F.col("far") > first) & ~F.array_contains("path", F.col("far")))
+            paths = cut(longer.select("path", F.col("far").alias("last")))
     return found.orderBy("length", "cycle").limit(limit).withColumn("truncated", F.lit(more))
 
 
@@ -259,17 +259,20 @@ def hubs(g: Graph, limit: int | None = 5) -> DataFrame:
 def blast_radius(g: Graph, name: str, depth: int = 3, contracts: bool = True) -> DataFrame:
     """One row: symbol, direct_callers, transitive_callers (edge rows), implementations, embedders, type_users."""
     name = require_symbol(g, name)
-    into = g.edges.where(F.col("to_ref") == name).agg(*(F.count_if(F.col("edge_type").isin(*t)).alias(n) for n, t in (("direct_callers", ("calls", "references")), ("implementations", ("satisfies",)), ("embedders", ("embeds",)))))
-    transitive = callers_of(g, name, depth).agg(F.count("*").alias("transitive_callers"))
-    kinds = g.symbols.where((F.col("qualified_name") == name) & F.col("kind").isin(*TYPE_KINDS))
-    users = g.spark.range(1).select(F.lit(0).cast("long").alias("type_users")) if kinds.isEmpty() else type_usage(g, name).agg(F.count("*").alias("type_users"))
-    extra = g.spark.range(1).select(F.lit(0).cast("long").alias("n"))
+    one = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    into = g.edges.where(F.col("to_ref") == name)
+    totals = [one(into.where(F.col("edge_type").isin(*t)), what) for what, t in (("direct", ("calls", "references")), ("implementations", ("satisfies",)), ("embedders", ("embeds",)))]
+    totals.append(one(callers_of(g, name, depth), "transitive"))
+    if not g.symbols.where((F.col("qualified_name") == name) & F.col("kind").isin(*TYPE_KINDS)).isEmpty():
+        totals.append(one(type_usage(g, name), "users"))
     if contracts and g.contracts is not None:
         mine = (F.col("from_ref") == name) & (F.col("direction") == "producer") | (F.col("to_ref") == name) & (F.col("direction") == "consumer")
-        extra = g.contracts.where(mine & ~F.col("suggested")).agg(F.count("*").alias("n"))
-    # Each side is one row of totals.
-    rows = into.crossJoin(transitive).crossJoin(users).crossJoin(extra)
-    return rows.select(F.lit(name).alias("symbol"), (F.col("direct_callers") + F.col("n")).alias("direct_callers"), "transitive_callers", "implementations", "embedders", "type_users")
+        totals.append(one(g.contracts.where(mine & ~F.col("suggested")), "direct"))
+    rows = totals[0]
+    for t in totals[1:]:
+        rows = rows.unionAll(t)
+    total = lambda what, alias: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(alias)
+    return rows.agg(F.lit(name).alias("symbol"), total("direct", "direct_callers"), total("transitive", "transitive_callers"), total("implementations", "implementations"), total("embedders", "embedders"), total("users", "type_users"))
 
 
 HEURISTICS = ("main", "test", "uncalled_exported", "handler_sig", "handler_name")

@@ -11,15 +11,30 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.model import KINDS, LIVE, TYPE_KINDS, Ambiguous, Graph, NotFound, normalize_name
+from graphloom.plans.materialize import cut
 
 GENERATED = ("any", "exclude", "only")
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """df with a 1-based rank. Results are small here: they were filtered or limited before."""
+    """df with a 1-based rank, for results that a limit bounds: one task orders them."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_wide(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """df with a 1-based rank, of any size: rows are dealt by ranges of the order, numbered within, and shifted by the
+    sizes of the ranges before (one row for each)."""
+    keys = [f"_o{k}" for k in range(len(order))]
+    rows = df.select("*", *(c.alias(k) for k, c in zip(keys, order, strict=True)))
+    # A descending key sorts by its own direction; ranges are cut on plain columns.
+    rows = cut(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return rows.withColumn("_at", within).join(F.broadcast(sizes), "_part").withColumn(name, (F.col("_at") + F.col("_before")).cast("int")).drop("_part", "_before", "_at", *keys)
+
+
 # -- filters ---------------------------------------------------------------------------------------------------------
 
 
@@ -195,19 +210,19 @@ def search(g: Graph, pattern: str, limit: int | None = None, **filters) -> DataF
 
     symbols = symbol_filter(g.symbols, **filters)
     if not any(c.isalnum() for c in pattern):
-        return ranked(symbols.withColumn("pass", F.lit(0)).where("false"), *search_rank(pattern)).select(*FOUND, "rank")
+        return symbols.where("false").select(*FOUND, F.lit(0).alias("rank"))
     loose = X.contains_ci(F.col("name"), pattern) | X.contains_ci(F.col("qualified_name"), pattern) | X.contains_ci(F.col("signature"), pattern) | X.contains_ci(F.col("doc"), pattern)
     rows = first_pass(symbol_matches(symbols, pattern), symbol_matches(symbols, pattern, runs=True), symbols.where(loose))
     if limit:
-        rows = rows.orderBy(*search_rank(pattern)).limit(limit)
-    return ranked(rows, *search_rank(pattern)).select(*FOUND, "rank")
+        return ranked(rows.orderBy(*search_rank(pattern)).limit(limit), *search_rank(pattern)).select(*FOUND, "rank")
+    return ranked_wide(rows, *search_rank(pattern)).select(*FOUND, "rank")
 
 
 def search_substring(g: Graph, pattern: str, **filters) -> DataFrame:
     """The substring pass alone, with its rank."""
     p = X.contains_ci
     rows = symbol_filter(g.symbols, **filters).where(p(F.col("name"), pattern) | p(F.col("qualified_name"), pattern) | p(F.col("signature"), pattern) | p(F.col("doc"), pattern))
-    return ranked(rows.withColumn("pass", F.lit(0)), *search_rank(pattern)).select(*FOUND, "rank")
+    return ranked_wide(rows.withColumn("pass", F.lit(0)), *search_rank(pattern)).select(*FOUND, "rank")
 
 
 def search_prefix(g: Graph, prefix: str, **filters) -> DataFrame:
@@ -343,7 +358,7 @@ def type_usage(g: Graph, type_name: str, tests: bool = False) -> DataFrame:
     rows = by_signature.select("qualified_name", F.lit(0).alias("way")).unionAll(embedding.join(names, "qualified_name", "left_semi").select("qualified_name", F.lit(1))).unionAll(referring.join(names, "qualified_name", "left_semi").select("qualified_name", F.lit(2)))
     best = rows.groupBy("qualified_name").agg(F.min("way").alias("way"))
     how = F.element_at(F.array(F.lit("signature"), F.lit("embeds"), F.lit("references")), F.col("way") + 1)
-    return ranked(best, F.col("way"), F.col("qualified_name")).select("qualified_name", how.alias("how"), "rank")
+    return ranked_wide(best, F.col("way"), F.col("qualified_name")).select("qualified_name", how.alias("how"), "rank")
 
 
 def interface_impls(g: Graph, interface: str) -> DataFrame:
@@ -381,7 +396,7 @@ def summary_packages(g: Graph, repo: str | None = None) -> DataFrame:
     """path, sym_count, doc, rank: packages by size."""
     docs = g.packages.select(F.col("path").alias("_d"), X.cut_at_word(F.col("doc"), 120).alias("doc"))
     rows = list_packages(g, repo=repo).join(docs, F.col("path") == F.col("_d"), "left")
-    return ranked(rows, F.col("sym_count").desc(), F.col("path")).select("path", "sym_count", "doc", "rank")
+    return ranked_wide(rows, -F.col("sym_count"), F.col("path")).select("path", "sym_count", "doc", "rank")
 
 
 def first_paragraph(markdown: str) -> str:

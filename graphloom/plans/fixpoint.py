@@ -48,16 +48,17 @@ def longest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Leaves are peeled in rounds. A node is done when all it depends on is done; those that never are get level 0.
     """
     edges = cut(edges.select("near", "far").where("near <> far").distinct())
-    todo = cut(nodes.select("node").distinct())
-    loops = edges.sparkSession.createDataFrame([], "node string, level int")
-    done, level = loops, 0
-    while True:
-        blocked = edges.select(F.col("near").alias("node")).distinct()
-        ready = cut(todo.join(blocked, "node", "left_anti").select("node", F.lit(level).alias("level")))
-        rows = ready.count()
-        if not rows:
-            return done.unionByName(todo.select("node", F.lit(0).alias("level")))
-        done = cut(done.unionByName(ready))
-        todo = cut(todo.join(offered(ready.select("node"), rows), "node", "left_anti"))
-        edges = cut(edges.join(offered(ready.select(F.col("node").alias("far")), rows), "far", "left_anti"))
+    blocked = edges.select(F.col("near").alias("node")).distinct()
+    ready = cut(nodes.select("node").distinct().join(blocked, "node", "left_anti").select("node", F.lit(0).alias("level")))
+    done, level, rows = ready, 0, ready.count()
+    while rows:
         level += 1
+        left = cut(edges.join(offered(ready.select(F.col("node").alias("far")), rows), "far", "left_anti"))
+        # Ready now: what had edges before this round and has none left.
+        before, after = (e.select(F.col("near").alias("node")).distinct() for e in (edges, left))
+        ready = cut(before.join(after, "node", "left_anti").select("node", F.lit(level).alias("level")))
+        rows, edges, done = ready.count(), left, done.unionByName(ready)
+        if level % 16 == 0:
+            done = cut(done)
+    cyclic = edges.select(F.col("near").alias("node")).distinct()
+    return done.unionByName(cyclic.join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.lit(0).alias("level")))
