@@ -19,7 +19,10 @@ from graphloom.operators import fulltext as T
 from graphloom.operators import graph as G
 from graphloom.operators import lookup as L
 from graphloom.operators import rank as R
+from graphloom.operators import pattern as P
+from graphloom.operators import runtime as RT
 from graphloom.sources import adapters as A
+from graphloom.sources import go_source as GO
 from graphloom.sources import sinks as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -691,3 +694,72 @@ def response_cap(t):
     sizes = t.table("conversations").groupBy(F.col("conv_id").alias("response_id")).agg(F.sum(F.octet_length("text")).alias("bytes"))
     upto = F.sum("bytes").over(Window.orderBy(F.col("response_id").desc()).rowsBetween(Window.unboundedPreceding, 0))
     return sizes.withColumn("upto", upto).where("upto <= 60000").drop("upto")
+
+
+# -- Go sources written from the parts --------------------------------------------------------------------------------
+
+#: For each part, the next one of its package; for each package, the next package and its first part.
+PARTS = f"""pt AS (SELECT package_path, k, lead(k) OVER (PARTITION BY package_path ORDER BY k) AS nx, repo FROM ({A.PARTS})),
+pk AS (SELECT package_path, lead(package_path) OVER (ORDER BY package_path) AS other, lead(m) OVER (ORDER BY package_path) AS om, m FROM (SELECT package_path, min(k) AS m FROM pt GROUP BY package_path))"""
+
+
+def go_files(t: A.Tables) -> DataFrame:
+    """path, content, repo, root: a file for each package, with a function, a type and a method for each part."""
+    parts = t.sql(f"WITH {PARTS} SELECT package_path, k, nx FROM pt")
+    packages = t.sql(f"WITH {PARTS} SELECT package_path AS p, other, om, m FROM pk")
+    k, nx = F.col("k").cast("string"), F.col("nx").cast("string")
+    text = "func P{k}(a int) error {\n\tif a > {k} && a < 9 {\n\t\t{return}\n\t}\n\tq := T{k}{}\n\tq.M{k}()\n\tclient.Set(ctx, \"key:2024-01-02:{k}\")\n\treturn nil\n}\n\ntype T{k} struct {\n\tA int `json:\"a{k}\"`\n}\n\n// M is one. And more.\nfunc (t *T{k}) M{k}() {}\n"
+    step = F.when(F.col("nx").isNull(), F.lit("return nil")).otherwise(F.concat(F.lit("return P"), nx, F.lit("(a)")))
+    decl = F.replace(F.replace(F.lit(text), F.lit("{k}"), k), F.lit("{return}"), step)
+    bodies = parts.groupBy("package_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", decl.alias("d")))), lambda x: x["d"]), "\n").alias("body"))
+    other = F.when(F.col("other").isNull(), F.lit('import "redis"\n\n')).otherwise(F.concat(F.lit('import (\n\t"redis"\n\tq "src/'), "other", F.lit('"\n)\n\nfunc Cross() { q.P'), F.col("om").cast("string"), F.lit("(1) }\n\n")))
+    face = F.concat(F.lit("type Face interface {\n\tM"), F.col("m").cast("string"), F.lit("()\n}\n\n"))
+    rows = bodies.join(packages, bodies["package_path"] == F.col("p"))
+    return rows.select(F.concat(F.lit("/"), "package_path", F.lit("/x.go")).alias("path"), F.concat(F.lit("package p\n\n"), other, face, "body").alias("content"), F.lit("src").alias("repo"), F.lit("").alias("root"))
+
+
+@query(f"""WITH {PARTS} SELECT 'src/' || package_path || '.P' || k AS qualified_name, 'function' AS kind, 'func(a int) error' AS signature, '' AS doc, 3 AS complexity FROM pt
+UNION ALL SELECT 'src/' || package_path || '.T' || k, 'type', 'struct {{ A int }}', '', 0 FROM pt UNION ALL SELECT 'src/' || package_path || '.T' || k || '.M' || k, 'method', 'func()', 'M is one. And more.', 1 FROM pt
+UNION ALL SELECT 'src/' || package_path || '.Cross', 'function', 'func()', '', 1 FROM pk WHERE other IS NOT NULL UNION ALL SELECT 'src/' || package_path || '.Face', 'interface', 'interface', '', 0 FROM pk UNION ALL SELECT 'src/' || package_path || '.Face.M' || m, 'method', 'func()', '', 0 FROM pk""")
+def go_symbols(t):
+    """Parsed from sources: names, kinds, signatures, comments and complexity."""
+    return GO.index(go_files(t)).symbols.select("qualified_name", "kind", "signature", "doc", "complexity")
+
+
+@query(f"""WITH {PARTS} SELECT 'src/' || package_path || '.P' || k AS from_ref, 'src/' || package_path || '.P' || nx AS to_ref, 'calls' AS edge_type FROM pt WHERE nx IS NOT NULL
+UNION ALL SELECT 'src/' || package_path || '.P' || k, 'src/' || package_path || '.T' || k || '.M' || k, 'calls' FROM pt UNION ALL SELECT 'src/' || package_path || '.P' || k, 'src/' || package_path || '.T' || k, 'references' FROM pt
+UNION ALL SELECT 'src/' || package_path || '.T' || k || '.M' || k, 'src/' || package_path || '.T' || k, 'references' FROM pt UNION ALL SELECT 'src/' || package_path || '.Cross', 'src/' || other || '.P' || om, 'calls' FROM pk WHERE other IS NOT NULL
+UNION ALL SELECT 'src/' || package_path || '.T' || m, 'src/' || package_path || '.Face', 'satisfies' FROM pk UNION ALL SELECT 'src/' || package_path, 'src/' || other, 'imports' FROM pk WHERE other IS NOT NULL UNION ALL SELECT 'src/' || package_path, 'redis', 'imports' FROM pk""")
+def go_edges(t):
+    """Resolved from sources: calls, references, satisfaction and imports."""
+    return GO.index(go_files(t)).edges.select("from_ref", "to_ref", "edge_type")
+
+
+@query(f"""WITH {PARTS} SELECT '/' || package_path || '/x.go' AS file, 'return P' || nx || '(a)' AS text, 'src/' || package_path || '.P' || k AS symbol FROM pt WHERE nx IS NOT NULL""")
+def pattern_search(t):
+    files = go_files(t)
+    g = GO.index(files)
+    return P.pattern_search(g, "return $F(a)").select("file", "text", "symbol")
+
+
+@query(f"""WITH {PARTS} SELECT 'redis' AS kind, 'key:{{date}}:' || k AS pattern, 'src/' || package_path || '.P' || k AS from_ref, 'producer' AS direction FROM pt""")
+def runtime_contracts(t):
+    return RT.runtime_contracts(GO.index(go_files(t))).select("kind", "pattern", "from_ref", "direction")
+
+
+@query(f"""WITH {PARTS} SELECT 'src/' || package_path || '.P' || k AS qualified_name, 'src/' || package_path || '.P' || k AS enclosing FROM pt""")
+def go_spans(t):
+    """Every function is the innermost declaration at its own first line."""
+    g = GO.index(go_files(t))
+    rows = g.symbols.where("kind = 'function' and name <> 'Cross'").select("qualified_name", F.col("pos_file").alias("file"), F.col("pos_line").alias("line"))
+    near = L.enclosing(rows, g.symbols)
+    return rows.join(near, ["file", "line"]).select("qualified_name", "enclosing")
+
+
+@query("""SELECT tool, count(*) AS calls, count(*) FILTER (error) AS errors, sum(a) AS response_bytes, sum(b) AS raw_bytes, round(CASE WHEN sum(b) > 0 THEN least(1.0, greatest(0.0, 1 - sum(a) / sum(b))) ELSE 0 END, 6) AS saved
+FROM (SELECT event_type AS tool, user_id % 7 = 0 AS error, CAST(user_id AS BIGINT) AS a, CAST(floor(value) * 10 AS BIGINT) AS b FROM events) GROUP BY tool""")
+def usage_stats(t):
+    from graphloom.render import usage
+
+    rows = t.table("events").select(F.col("event_type").alias("tool"), (F.col("user_id") % 7 == 0).alias("error"), F.col("user_id").alias("response_bytes"), (F.floor("value") * 10).cast("long").alias("raw_bytes"))
+    return usage(rows).withColumn("saved", F.round("saved", 6))

@@ -334,3 +334,36 @@ def test_stream(spark, tmp_path):
     rows(("a.go", "package a\nfunc F() {}\n", "r", "", datetime(2024, 1, 2)))
     follow(spark, changes, str(tmp_path / "history"), store, str(tmp_path / "cp")).awaitTermination()
     assert {r["name"] for r in store.read().symbols.collect()} == {"F", "Q"}
+
+
+def test_server(g):
+    from graphloom.server import Server
+
+    server = Server(g, gate=1500)
+    ask = lambda method, **params: server.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params}))
+    call = lambda name, **arguments: ask("tools/call", name=name, arguments=arguments)
+    assert ask("initialize")["result"]["serverInfo"]["name"] == "graphloom" and ask("ping")["result"] == {}
+    tools = {t["name"]: t["inputSchema"] for t in ask("tools/list")["result"]["tools"]}
+    assert tools["callers_of"]["required"] == ["qualified_name"] and tools["callers_of"]["properties"]["edge_types"]["type"] == "array"
+    assert "a.use" in call("callers_of", qualified_name="ex.com/m/a.dead")["result"]["content"][0]["text"]
+    assert call("callers_of", qualified_name="nope")["result"]["isError"]
+    assert call("callers_of", qualified_name="x", depth=0)["error"]["code"] == -32602 and ask("nothing")["error"]["code"] == -32601
+    assert server.handle("{")["error"]["code"] == -32700 and server.handle("[]")["error"]["code"] == -32600 and server.handle('{"method": "x"}') is None
+    text = call("all_edges")["result"]["content"][0]["text"]
+    name = text.split("\n")[0].removeprefix("response_id: ")
+    parts = [call("read_response_section", response_id=name, section=k)["result"]["content"][0]["text"] for k in range(len(server.responses[name]))]
+    assert "".join(parts).startswith("all_edges[") and len(parts) > 1
+    assert "section" in call("read_response_section", response_id=name, query="DEAD")["result"]["content"][0]["text"]
+    assert "error" in call("read_response_section", response_id="x")
+    assert "callers_of,3,2" in call("stats")["result"]["content"][0]["text"]
+
+
+def test_command_line(spark, root, tmp_path, capsys):
+    from graphloom.__main__ import main
+
+    assert main([]) == 2 and main(["tools"]) == 0
+    assert main(["index", str(root), f"file://{tmp_path}/store"]) == 0
+    capsys.readouterr()
+    assert main(["query", f"file://{tmp_path}/store", "callers_of", "qualified_name=ex.com/m/a.dead", "depth=1", "--format", "json"]) == 0
+    assert {r["from_ref"] for r in json.loads(capsys.readouterr().out)["callers_of"]} == {"ex.com/m/a.use", "ex.com/m/a.TestUse"}
+    assert main(["query", f"file://{tmp_path}/store", "callers_of", "qualified_name=nope"]) == 1
