@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.model import EDGE_TYPES, LIVE, TYPE_KINDS, Graph, NoPath, NotFound
-from graphloom.operators.lookup import FOUND, edge_filter, edges_for, mark_external, project_targets, ranked, require_symbol, type_usage, without_test_sites
+from graphloom.operators.lookup import FOUND, edge_filter, edges_for, mark_external, project_targets, ranked, ranked_wide, require_symbol, type_usage, without_test_sites
 from graphloom.plans.fixpoint import kept, levels, longest
 from graphloom.plans.materialize import cut, offered
 
@@ -249,8 +249,9 @@ def hubs(g: Graph, limit: int | None = 5) -> DataFrame:
     into = imports.groupBy(F.col("far").alias("path")).agg(F.count("*").alias("fan_in"))
     out = imports.groupBy(F.col("near").alias("_p")).agg(F.count("*").alias("fan_out"))
     rows = into.join(out, into["path"] == F.col("_p"), "left").select("path", "fan_in", F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
-    rows = rows.orderBy(F.col("fan_in").desc(), "path").limit(limit) if limit else rows
-    return ranked(rows, F.col("fan_in").desc(), F.col("path"))
+    if not limit:
+        return ranked_wide(rows, -F.col("fan_in"), F.col("path"))
+    return ranked(rows.orderBy(F.col("fan_in").desc(), "path").limit(limit), F.col("fan_in").desc(), F.col("path"))
 
 
 # -- impact ----------------------------------------------------------------------------------------------------------

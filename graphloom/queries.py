@@ -696,6 +696,47 @@ def response_cap(t):
     return sizes.withColumn("upto", upto).where("upto <= 60000").drop("upto")
 
 
+@query(f"""WITH f AS (SELECT repo, sha256(string_agg(path || chr(0) || sha256(coalesce(content, '')), chr(10) ORDER BY path)) AS now FROM {FILE} GROUP BY repo), g AS (SELECT repo, sha256(string_agg(path || chr(0) || sha256(CASE WHEN repo < 'src2' THEN upper(coalesce(content, '')) ELSE coalesce(content, '') END), chr(10) ORDER BY path)) AS was FROM {FILE} WHERE repo <> 'src5' GROUP BY repo UNION ALL SELECT 'gone', 'x')
+SELECT repo, CASE WHEN was IS NULL THEN 'never indexed' WHEN now IS NULL THEN 'missing' ELSE 'source changed' END AS reason FROM f FULL JOIN g USING (repo) WHERE now IS DISTINCT FROM was""")
+def stale_repos(t):
+    files = t.sql(A.FILES)
+    before = files.where("repo <> 'src5'").withColumn("content", F.when(F.col("repo") < "src2", F.upper("content")).otherwise(F.col("content")))
+    gone = t.spark.createDataFrame([("gone", "x")], "repo string, fingerprint string")
+    return D.stale(files, D.fingerprint(before).unionByName(gone))
+
+
+@query(CHANGES + " SELECT name, change, was, 'docs' AS repo FROM c")
+def workspace_changes(t):
+    old, new = shapes(t)
+    return D.workspace_changes({"docs": (old, new), "same": (old, old)})
+
+
+@query("""WITH h AS (SELECT 'f' || page_id AS path, page_id % 50 AS a, page_id % 4 AS b, page_id % 60 AS c, page_id % 3 AS d FROM pages)
+SELECT path, 'removed' AS side, a AS first, a + b - 1 AS last FROM h WHERE b > 0 UNION ALL SELECT path, 'added', c, c + d - 1 FROM h WHERE d > 0""")
+def diff_hunks(t):
+    n = lambda m: (F.col("page_id") % m).cast("string")
+    size = lambda m: F.when(F.col("page_id") % m == 1, F.lit("")).otherwise(F.concat(F.lit(","), n(m)))
+    text = F.concat(F.lit("@@ -"), n(50), size(4), F.lit(" +"), n(60), size(3), F.lit(" @@ func"))
+    rows = D.hunks(t.table("pages").select(F.concat(F.lit("f"), "page_id").alias("path"), text.alias("text")))
+    return rows.select("path", "side", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+
+
+@query("""SELECT event_id, 'job:{date}:{ip}:{name}:' || event_type AS pattern FROM events""")
+def normalize_keys(t):
+    ip = F.concat_ws(".", *(F.col("user_id") % m for m in (200, 100, 50, 7)))
+    key = F.concat(F.lit('"job:'), F.date_format("ts", "yyyy-MM-dd"), F.lit(":"), ip, F.lit(":%s:"), "event_type", F.lit('"'))
+    return t.table("events").select("event_id", RT.normalized(key, RT.REDIS_RULES).alias("pattern"))
+
+
+@query(f"""WITH {CONST}, d AS (SELECT a.ref AS from_ref, b.ref AS to_ref, a.value AS type_a, b.value AS type_b FROM cst a JOIN cst b ON a.name = b.name WHERE {PAIR} AND a.value <> b.value)
+SELECT * FROM d WHERE NOT (suffix(from_ref, 'MACHINERY') AND suffix(type_a, '1'))""")
+def suppressed_drift(t):
+    """A pair is suppressed whichever way around it is named."""
+    drift = C.value_drift(constants(t))
+    pairs = drift.where(F.endswith("from_ref", F.lit("MACHINERY")) & F.endswith("type_a", F.lit("1"))).select(F.col("to_ref").alias("from_ref"), F.col("from_ref").alias("to_ref"))
+    return C.unsuppressed(drift, pairs).select("from_ref", "to_ref", "type_a", "type_b")
+
+
 # -- Go sources written from the parts --------------------------------------------------------------------------------
 
 #: For each part, the next one of its package; for each package, the next package and its first part.
