@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.bpe import encode_decode
-from graphloom.llm.common import documents, scratch, settle
+from graphloom.llm.common import discard, documents, scratch, settle
 from graphloom.llm.exact_dedup import drop_copies
 from graphloom.llm.language_id import drop_unknown
 from graphloom.llm.mixing import mixed
@@ -50,11 +50,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each written to the shared folder and read again; the last is returned as it is."""
-    docs = documents(spark, sf_dir)
+    """The stages in turn, each written to the shared folder and read again; the last is returned as it is.
+
+    A stage's table is deleted when the next one is written; that of the last stage but one stays, the result reads it.
+    """
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(path := scratch(spark, name))
             docs = spark.read.parquet(path)
+            if before:
+                discard(spark, before)
+            before = path
     return docs

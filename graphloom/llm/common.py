@@ -46,6 +46,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{settle(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     settle(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -497,3 +497,22 @@ def test_pipeline(spark, docs, none):
             now = after
         assert now.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         assert (now.count() > 0) == (start is plain)
+
+
+def test_pipeline_run(spark, docs, tmp_path):
+    """run() gives what the stages give one by one; near copies and equal texts are gone, sizes follow the mix."""
+    import corpus_pipeline
+
+    plain = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
+    plain.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+    assert Counter((r["doc_id"], r["ids_sha256"]) for r in got) == Counter((r["doc_id"], r["ids_sha256"]) for r in now.collect())
+    texts = {r["doc_id"]: r["text"] for r in plain.collect()}
+    ids = {r["doc_id"] for r in got}
+    assert len({lower(texts[i]) for i in ids}) == len(ids)
+    prints = [slow_fingerprint(texts[i]) for i in ids]
+    assert all((a ^ b).bit_count() > 2 for k, a in enumerate(prints) for b in prints[k + 1 :])
+    assert all(re.search(r"[^\W\d_]", texts[i]) for i in ids)
