@@ -25,6 +25,8 @@ QUARTERS = [0xFFFF << s for s in (0, 16, 32, 48)]
 PAIRS = [a | b for a, b in combinations(QUARTERS, 2)]
 #: Fingerprints in a bucket before it is split further, and lanes compared at a time.
 LARGE, LANES = 2048, 1 << 16
+#: Links in a partition of the loop that finds components.
+PART_ROWS = 200_000
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> list[bytes]:
@@ -158,14 +160,15 @@ def components(edges: DataFrame) -> DataFrame:
     Edges are a and b, in either order. Each step is a checkpoint; rounds end when the edges stay as they are.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    # Neither step adds edges, so as many partitions as these rows want are enough for all rounds.
+    parts, before = edges.count() // PART_ROWS + 1, None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("low", "a"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        edges = cut(small.where("a <> b").distinct())
+        edges = cut(small.where("a <> b").distinct().coalesce(parts))
         now = edges.agg(F.count("*"), *(F.sum(x.cast("decimal(38,0)")) for x in (F.col("a"), F.col("b"), F.xxhash64("a", "b")))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
