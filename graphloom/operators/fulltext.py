@@ -14,6 +14,7 @@ from graphloom.functions.stem import stem
 from graphloom.functions.text import contains_ci
 from graphloom.model import Graph
 from graphloom.operators.lookup import ranked
+from graphloom.plans.materialize import shipped
 
 LINES, MOST_TERMS, MOST_EDITS, LEAST_LETTERS, RRF = 100, 4, 2, 3, 60
 #: Okapi BM25's usual constants.
@@ -43,6 +44,7 @@ def symbol_matches(symbols: DataFrame, pattern: str, runs: bool = False) -> Data
     With runs, terms are cut at characters that don't belong to identifiers. Rows that can't hold a term's stem are
     filtered out before the stemmer sees them.
     """
+    shipped(symbols.sparkSession)
     text = F.lower(F.concat_ws(" ", "qualified_name", "name", "kind", "receiver", "signature", "doc"))
     rows = symbols.withColumn("_tokens", F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+")))
     found = F.lit(False)

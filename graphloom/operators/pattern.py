@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import Graph
 from graphloom.operators.lookup import enclosing
+from graphloom.plans.materialize import shipped
 from graphloom.sources.golang.syntax import TOKEN, Lines, Node, Parser, SyntaxProblem, parse
 
 META = "metavar__"
@@ -124,6 +125,7 @@ def pattern_search(g: Graph, source: str, file: str | None = None, repo: str | N
 
     Files without the pattern's literal tokens are filtered out before any is parsed.
     """
+    shipped(g.spark)
     pattern = compiled(source)
     files = g.files.where(F.endswith("path", F.lit(".go")))
     for literal in dict.fromkeys(pattern.literals):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from graphloom.model import Graph
 from graphloom.operators.contracts import constants_of
 from graphloom.operators.lookup import enclosing
+from graphloom.plans.materialize import shipped
 from graphloom.sources.golang.syntax import Lines, Node, SyntaxProblem, parse
 
 #: Rules (regular expression, replacement) of the built-in normalisers, in order.
@@ -81,8 +82,8 @@ def literal(node) -> str | None:
     return node.text[1:-1] if isinstance(node, Node) and node.kind == "Literal" and node.type == "string" else None
 
 
-def scan(e: Extractor, text: str, constants: set[str]) -> Iterator[tuple[str, str, int, str, str]]:
-    """(direction, literal or name, line, column, how) of the entities in a file; names of constants are told by `how`."""
+def scan(e: Extractor, text: str) -> Iterator[tuple[str, str, int, str]]:
+    """(direction, literal or name, line, how) of the entities in a file; `how` tells the names of constants."""
     lines = Lines(text)
     recorded = set()
     try:
@@ -101,21 +102,21 @@ def scan(e: Extractor, text: str, constants: set[str]) -> Iterator[tuple[str, st
                 strings = [v for a in node.args if (v := literal(a)) is not None]
                 for value in strings[e.argument :]:
                     recorded.add((value, line))
-                    yield methods[f.name.name], value, line, "call", f.name.name
+                    yield methods[f.name.name], value, line, "call"
         elif node.kind == "Switch" and e.decode_switch and message_subject(node) and (not e.const_prefix or uses_prefix(e.const_prefix, text)):
             for clause in node.clauses:
                 line = lines.at(clause.start)[0]
                 for v in clause.values:
                     if (value := literal(v)) is not None:
-                        yield "consumer", value, line, "case", ""
+                        yield "consumer", value, line, "case"
                     elif v.kind == "Ident" or v.kind == "Selector" and v.fields["value"].kind == "Ident":
                         name = v.name if v.kind == "Ident" else f"{v.fields['value'].name}.{v.name.name}"
-                        yield "consumer", name, line, "name", ""
+                        yield "consumer", name, line, "name"
     for k, row in enumerate(text.split("\n"), 1):
         for pattern in e.config:
             if m := re.search(pattern, row):
                 recorded.add((m[1], k))
-                yield "producer", m[1], k, "config", ""
+                yield "producer", m[1], k, "config"
     seen = set()
     for k, row in enumerate(text.split("\n"), 1):
         for pattern in e.literals:
@@ -123,7 +124,7 @@ def scan(e: Extractor, text: str, constants: set[str]) -> Iterator[tuple[str, st
                 if m[1] and m[1] not in seen:
                     seen.add(m[1])
                     if (m[1], k) not in recorded:
-                        yield "shared", m[1], k, "literal", ""
+                        yield "shared", m[1], k, "literal"
 
 
 def message_subject(node: Node) -> bool:
@@ -144,12 +145,13 @@ def uses_prefix(prefix: str, text: str) -> bool:
 
 def sites(files: DataFrame, e: Extractor) -> DataFrame:
     """file, repo, line, direction, value, how for one extractor; its method names filter the files before the scan."""
+    shipped(files.sparkSession)
     words = [*e.producers, *e.consumers]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
         for batch in batches:
-            rows = [(p, r, line, d, v, how) for p, c, r in zip(*(x.to_pylist() for x in batch.columns), strict=True) for d, v, line, how, _ in scan(e, c or "", set())]
+            rows = [(p, r, line, d, v, how) for p, c, r in zip(*(x.to_pylist() for x in batch.columns), strict=True) for d, v, line, how in scan(e, c or "")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["file", "repo", "line", "direction", "value", "how"])
 

@@ -5,13 +5,22 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of short strings that may be broadcast, counted before.
 BROADCAST_ROWS = 500_000
 
 
+def shipped(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does, whatever folder they were started in."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read from the shared checkpoint folder from now on."""
     context = df.sparkSession.sparkContext
