@@ -29,7 +29,7 @@ def levels(adjacency: DataFrame, start: DataFrame, depth: int | None = None) ->
     visited = cut(start.select("node", F.lit(0).alias("level")).distinct())
     frontier, level = visited, 0
     rows = frontier.count()
-    with kept(adjacency.select("near", "far").distinct(), "near") as hops:
+    with kept(adjacency.select("near", "far"), "near") as hops:
         while rows and (depth is None or level < depth):
             level += 1
             reached = hops.join(offered(frontier.select(F.col("node").alias("near")), rows), "near").select(F.col("far").alias("node")).distinct()
