@@ -6,6 +6,13 @@ passage is cut the same way wherever it stands. Units are normalised (A-Z lower-
 64-bit digests grouped globally; the occurrence in the least doc_id, and there the first, is kept. Of the others those
 are removed that stand in a run of at least `min_words` words of removable units: single short units recur by chance,
 and so would a unit whose digest collides. Offsets count code points of the original text.
+
+Such units have no greatest length, so a passage can lose most of its words at either end. Long units are therefore cut
+once more, after the word of least hash (the last of equal ones) in each WINDOW words without an edge; that depends on
+those words alone, too, and any WINDOW words in a row hold an edge. A part that follows itself is told apart by its turn,
+within one text: a word said over and over doesn't repeat a passage that stands before it. Runs of these parts are removed where no run of whole
+units is. The first part edge in a shared passage of n words comes within WINDOW words, the last within WINDOW of its
+end, whose own word may or may not end a line: n - 2 * WINDOW words or more lie between, 30 of any 50.
 """
 
 from __future__ import annotations
@@ -19,8 +26,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import SPACE, binary, cut, fresh, pieces
 
-#: A passage of 50 words loses at most a unit at either end, where it is grown together with its surroundings.
-MIN_WORDS, CUT = 30, 12
+#: A passage of 50 words loses less than WINDOW words at either end, where it is grown together with its surroundings.
+MIN_WORDS, CUT, WINDOW = 30, 12, 10
 #: Bytes of text worked on at a time.
 CHUNK = 1 << 20
 BLANK, STOP, LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256)
@@ -29,7 +36,9 @@ LOWER[65:91] += 32
 #: Odd multipliers by place in a word, the places beyond in turn.
 PLACE = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
 
-UNITS = "doc_id long, row long, unit int, a int, b int, words int, digest long, again boolean"
+#: Kinds of rows: a unit that is its only part, a unit of several parts, one of these parts. atom numbers a text's parts.
+WHOLE, SPLIT, PART = 0, 1, 2
+UNITS = "doc_id long, row long, unit int, atom int, kind int, a int, b int, words int, digest long, again boolean"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,16 +48,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, unit, start, end, words, digest, again) of the units of all texts, in order.
+def edges(words: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """last, and the last word of least hash in each WINDOW words that hold none of last."""
+    both = last.copy()
+    if len(words) >= WINDOW:
+        sums = np.concatenate([[0], np.cumsum(last)])
+        bare = np.flatnonzero(sums[WINDOW:] == sums[:-WINDOW])
+        least = np.lib.stride_tricks.sliding_window_view(words, WINDOW)[bare, ::-1].argmin(axis=1)
+        both[bare + WINDOW - 1 - least] = True
+    return both
+
 
-    unit numbers a text's units from 0, start and end count its code points; again: the digest was in the text before.
+def cuttings(texts: list[bytes], parts: bool = True) -> list[tuple[np.ndarray, ...]]:
+    """(text, unit, start, end, words, digest, again) of the units of all texts, in order; then the same of their parts.
+
+    unit numbers a text's units from 0, start and end count its code points; again: the digest was in the text before (a
+    part's as often in a row).
     """
     flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = BLANK[flat]
     at = np.flatnonzero(~blank)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, np.uint64), np.zeros(0, bool))
+        return [(np.zeros(0, np.int64),) * 5 + (np.zeros(0, np.uint64), np.zeros(0, bool))] * (1 + parts)
     first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
     size = np.diff(first, append=len(at))
     place = np.arange(len(at)) - np.repeat(first, size)
@@ -56,19 +77,48 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     start, end = at[first], at[first + size - 1] + 1
     line = np.cumsum(flat == 10)
     last = STOP[flat[end - 1]] | (words % np.uint64(CUT) == 0) | (np.diff(line[start], append=-1) != 0)
-    begin = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    count = np.diff(begin, append=len(words))
-    turn = (np.arange(len(words)) - np.repeat(begin, count)).astype(np.uint64)
-    digest = mixed(np.add.reduceat(mixed(words + (turn + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), begin) + count.astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    text = np.searchsorted(ends, start[begin], "right")
     point = np.cumsum((flat & 0xC0) != 0x80) - 1
-    base = point[np.concatenate([[0], ends[:-1]])][text]
-    number = np.arange(len(text)) - np.searchsorted(text, text)
-    order = np.lexsort((number, digest, text))
-    again = np.zeros(len(text), bool)
-    again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-    return text, number, point[start[begin]] - base, point[end[begin + count - 1] - 1] + 1 - base, count, digest, again
+
+    def gathered(last: np.ndarray, turns: bool) -> tuple[np.ndarray, ...]:
+        begin = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+        count = np.diff(begin, append=len(words))
+        turn = (np.arange(len(words)) - np.repeat(begin, count)).astype(np.uint64)
+        digest = mixed(np.add.reduceat(mixed(words + (turn + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), begin) + count.astype(np.uint64))
+        text = np.searchsorted(ends, start[begin], "right")
+        base = point[np.concatenate([[0], ends[:-1]])][text]
+        number = np.arange(len(text)) - np.searchsorted(text, text)
+        row, here = np.zeros(len(text), np.int64), np.arange(len(text))
+        if turns:
+            other = np.concatenate([[True], (digest[1:] != digest[:-1]) | (text[1:] != text[:-1])])
+            row = here - np.maximum.accumulate(np.where(other, here, 0))
+        order = np.lexsort((number, row, digest, text))
+        again = np.zeros(len(text), bool)
+        again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (row[order[1:]] == row[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+        return text, number, point[start[begin]] - base, point[end[begin + count - 1] - 1] + 1 - base, count, digest, again
+
+    whole = gathered(last, False)
+    return [whole, gathered(edges(words, last), True)] if parts else [whole]
+
+
+def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The units alone."""
+    return cuttings(texts, parts=False)[0]
+
+
+def kinds(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, unit, atom, kind, start, end, words, digest, again): a row for each unit, and for each part of split ones."""
+    whole, part = cuttings(texts)
+    # Words before a unit or part tell which parts it begins with and belongs to.
+    before = [np.cumsum(x[4]) - x[4] for x in (whole, part)]
+    head = np.searchsorted(before[1], before[0])
+    split = np.diff(head, append=len(before[1])) > 1
+    unit = np.searchsorted(before[0], before[1], "right") - 1
+    inner = np.flatnonzero(split[unit])
+    again = whole[6] | (~split & part[6][head])
+    upper = (whole[0], whole[1], part[1][head], np.where(split, SPLIT, WHOLE), *whole[2:6], again)
+    lower = (part[0][inner], whole[1][unit[inner]], part[1][inner], np.full(len(inner), PART), *(x[inner] for x in part[2:]))
+    return tuple(np.concatenate(x) for x in zip(upper, lower, strict=True))
 
 
 def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,9 +128,9 @@ def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in enumerate([*texts, b""]):
             if i == len(texts) or size and size + len(t) > CHUNK:
                 if first < i:
-                    text, unit, a, b, words, digest, again = units(texts[first:i])
+                    text, *numbers, digest, again = kinds(texts[first:i])
                     text += first
-                    columns = [ids.take(pa.array(text)), pa.array(rows[text]), *(pa.array(x.astype(np.int32)) for x in (unit, a, b, words)), pa.array(digest.view(np.int64)), pa.array(again)]
+                    columns = [ids.take(pa.array(text)), pa.array(rows[text]), *(pa.array(x.astype(np.int32)) for x in numbers), pa.array(digest.view(np.int64)), pa.array(again)]
                     yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in UNITS.split(", ")])
                 first, size = i, 0
             size += len(t)
@@ -95,19 +145,28 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     groups = rows.where(~F.col("again")).groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("stays")).where("n > 1").select("digest", "stays")
     # Both sides are dealt by digest alone, so a hot digest's rows can be split at run time.
     found = rows.join(cut(groups), "digest", "left").where(F.col("again") | (rank != F.col("stays")))
-    removable = found.select("doc_id", "row", "unit", "a", "b", "words").distinct()
+    # Dealt by text before repeated rows fold, so that they, the runs and the spans need one shuffle.
+    removable = found.select("doc_id", "row", "unit", "atom", "kind", "a", "b", "words").repartition("doc_id", "row").distinct()
+    text = Window.partitionBy("doc_id", "row")
     # Runs of units in a row: unit minus its number among the removable ones is the same along a run.
-    along = Window.partitionBy("doc_id", "row").orderBy("unit")
-    runs = removable.withColumn("run", F.col("unit") - F.row_number().over(along))
-    spans = runs.groupBy("doc_id", "row", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("words").alias("words")).where(F.col("words") >= min_words)
+    whole = F.col("kind") != PART
+    before = F.sum(whole.cast("int")).over(text.orderBy("atom", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    runs = removable.withColumn("run", F.when(whole, F.col("unit") - before))
+    runs = runs.withColumn("total", F.sum(F.when(whole, F.col("words"))).over(Window.partitionBy("doc_id", "row", "run")))
+    # Parts (and units that are their only part) run on their own wherever no run of units is long enough.
+    long = F.coalesce(F.max(F.col("total") >= min_words).over(Window.partitionBy("doc_id", "row", "unit")), F.lit(False))
+    left = runs.withColumn("long", long).where(F.when(F.col("long"), whole).otherwise(F.col("kind") != SPLIT))
+    number = F.row_number().over(Window.partitionBy("doc_id", "row", "long").orderBy("atom"))
+    left = left.withColumn("run", F.when(F.col("long"), F.col("run")).otherwise(F.col("atom") - number))
+    spans = left.groupBy("doc_id", "row", "long", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("words").alias("words")).where(F.col("words") >= min_words)
     return spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("a", "b", "words"))).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_removed (spans), words_removed, spans for every row of docs (doc_id long, text string).
 
-    A span is (a, b, words): code points a to b of the original text are a passage whose units all stand in a document
-    of smaller doc_id or earlier in the text itself. Null doc_ids rank last. Null, empty and blank texts lose nothing.
+    A span is (a, b, words): code points a to b of the original text are a passage whose units, or whose parts, all stand in a
+    document of smaller doc_id or earlier in the text itself. Null doc_ids rank last. Null, empty and blank texts lose nothing.
     Rows that repeat a doc_id are one document: a passage that they share stays in each. An empty table gives an empty
     result; other columns are not read.
     """

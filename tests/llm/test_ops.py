@@ -419,6 +419,36 @@ def test_substring_dedup(docs, none, rows):
     assert short.columns == docs.columns and short.count() == docs.count()
 
 
+def pasted(seed, size=51):
+    """Pairs of texts without a sentence end that share a passage of size words in mid-line, and nothing else."""
+    rng = random.Random(seed)
+    # Three in four passages have no word that ends a unit by its own hash: there whole units have no bound.
+    some = lambda n: [f"{rng.choice('qxzvk')}{rng.randrange(10**9)}" for _ in range(n)]
+    plain = [w for w in some(4000) if len(substring_dedup.units([f"{w} {w}".encode()])[0]) == 1]
+    for k in range(40):
+        passage = some(size) if k % 4 == 0 else rng.sample(plain, size)
+        around = [rng.sample(plain, rng.randrange(1, 40)) for _ in range(4)]
+        yield " ".join(around[0] + passage + around[1]), " ".join(around[2] + passage + around[3])
+
+
+def test_substring_dedup_pasted(spark):
+    """Each passage of 51 words pasted into the middle of a line is found in the later text; 30 words of it at least, and
+    no word beside it but what was glued on, are taken out."""
+    pairs = list(pasted(3))
+    docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs).collect()}
+    assert len(found) == 2 * len(pairs)
+    for i, (early, late) in enumerate(pairs):
+        assert found[2 * i]["n_removed"] == 0
+        assert found[2 * i + 1]["n_removed"] == 1 and 30 <= found[2 * i + 1]["words_removed"] <= 51
+        (a, b, n), = found[2 * i + 1]["spans"]
+        assert late[a:b] in early and len(late[a:b].split()) == n
+    # The same within one text, in mid-line; a word said over and over is no repeat of itself.
+    one = [(k, " ".join(p)) for k, p in enumerate(pairs)] + [(1000, "word " * 300)]
+    found = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(spark.createDataFrame(one, "doc_id long, text string")).collect()}
+    assert found.pop(1000) == 0 and set(found.values()) == {1}
+
+
 def slow_kneser_ney(texts, order):
     """Probability of each byte after its context, by the formulas."""
     grams = Counter()
