@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ids of at most this many rows (8 bytes each) are broadcast; above it rows are joined by shuffle.
@@ -87,6 +87,33 @@ def without(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> Data
     return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
 
 
+def one_of_each(docs: DataFrame, decided: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """docs with exactly one row of each group; all columns stay.
+
+    decided has doc_id, row (the hash of its text as it is), group and first for every row of docs. The row of a group that
+    stays is one that is first, of several texts the one of least hash, of equal doc_ids and texts the least row by all its
+    columns (which must have an order). Each row is judged by doc_id and text, so other rows with its doc_id, or with none,
+    are left alone. What goes or is repeated is counted and then broadcast or shuffled, as by `without`.
+    """
+    mark, id_, row_ = fresh(docs, "_mark"), fresh(docs, "_id"), fresh(docs, "_row")
+    gone = decided.where(~F.col("first")).select("doc_id", "row", F.lit(True).alias("gone")).distinct()
+    turn = F.row_number().over(Window.partitionBy("group").orderBy("row"))
+    may = decided.where("first").groupBy("group", "doc_id", "row").agg(F.count("*").alias("n")).withColumn("turn", turn)
+    gone = gone.unionAll(may.where("turn > 1 or n > 1").select("doc_id", "row", (F.col("turn") > 1).alias("gone")))
+    marks = cut(gone.select(F.struct("doc_id", "row", "gone").alias(mark)))
+    small = marks.limit(limit + 1).count() <= limit
+    m = F.col(mark)
+
+    def of(rows: DataFrame, how: str) -> DataFrame:
+        return docs.join(F.broadcast(rows) if small else rows, docs["doc_id"].eqNullSafe(m["doc_id"]) & (F.xxhash64(docs["text"]) == m["row"]), how)
+
+    left, several = of(marks, "left_anti"), marks.where(~m["gone"])
+    if several.isEmpty():
+        return left
+    each = of(several, "left_semi").groupBy(F.col("doc_id").alias(id_), F.xxhash64("text").alias(row_))
+    return left.unionByName(each.agg(F.min(F.struct(*docs.columns)).alias(mark)).select(f"{mark}.*"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import binary, cut, lower_ascii, pieces, without
+from graphloom.llm.common import binary, cut, lower_ascii, one_of_each, pieces
 
 #: Bytes of text that a map task folds before it passes them on, and that a trie may hold.
 FOLD_BYTES, TRIE_BYTES = 32 << 20, 96 << 20
@@ -205,7 +205,14 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0), binary(batch.column(1))
         found = [hashlib.sha256(lower_ascii(t or b"")).digest() for t in texts]
         salt = [xxhash.xxh32_intdigest(str(x)) % SALTS for x in ids.to_pylist()]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary()), pa.array(salt, pa.int32())], names=["doc_id", "digest", "salt"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary()), pa.array(salt, pa.int32()), batch.column(2)], names=["doc_id", "digest", "salt", "row"])
+
+
+def joined(docs: DataFrame, keep: str, fold: int, budget: int) -> DataFrame:
+    """doc_id, row (the text's hash), digest, best, n for every row of docs; the last two are null for a text of its own."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(digests, "doc_id long, digest binary, salt int, row long")
+    many = groups(docs, keep, fold, budget).where("n > 1 or best is null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(many, ["digest", "salt"], "left")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest", fold: int = FOLD_BYTES, budget: int = TRIE_BYTES) -> DataFrame:
@@ -215,10 +222,8 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", fold: int = FOLD_BYTES,
     row with the largest (or smallest) doc_id stays; null doc_ids lose to others. Rows that repeat doc_id and text both
     stay or both go. An empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select("doc_id", "text").mapInArrow(digests, "doc_id long, digest binary, salt int")
-    many = groups(docs, keep, fold, budget).where("n > 1 or best is null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        rows.join(many, ["digest", "salt"], "left")
+        joined(docs, keep, fold, budget)
         .select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -226,5 +231,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", fold: int = FOLD_BYTES,
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """docs without the rows that exact_dedup doesn't keep; all columns stay."""
-    return without(docs, exact_dedup(docs, keep).where("not kept").select("doc_id"))
+    """docs with exactly one row of each text: the one that exact_dedup keeps, and one where rows repeat doc_id and text.
+
+    Rows are judged one by one: another text with the doc_id of a copy, or without a doc_id, stays. All columns stay.
+    """
+    rows = joined(docs, keep, FOLD_BYTES, TRIE_BYTES).where("n > 1")
+    return one_of_each(docs, rows.select("doc_id", "row", F.col("digest").alias("group"), F.col("doc_id").eqNullSafe(F.col("best")).alias("first")))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import binary, cut, pieces, without
+from graphloom.llm.common import binary, cut, one_of_each, pieces
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
 QUARTERS = [0xFFFF << s for s in (0, 16, 32, 48)]
@@ -52,7 +52,7 @@ def fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = np.array([fingerprint(t, size) for t in binary(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", "row", "fp"])
 
     return run
 
@@ -175,14 +175,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def simhash(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, n_links for every row of docs (doc_id long, text string).
-
-    n_links counts the other distinct fingerprints within RADIUS bits. Null, empty and blank texts have fingerprint zero
-    and link like any other. Rows that repeat a doc_id count each. component_id is the smallest non-null doc_id that can
-    be reached (null if there is none). An empty table gives an empty result; other columns are not read.
-    """
-    rows = cut(docs.select("doc_id", "text").mapInArrow(fingerprints(size), "doc_id long, fp long"))
+def grouped(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, row (the text's hash), fp, root (a fingerprint for each component), component_id, n_links for every row."""
+    rows = cut(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(fingerprints(size), "doc_id long, row long, fp long"))
     each = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     edges = cut(links(each.select("fp")))
     count = edges.select("a").unionAll(edges.select("b")).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n_links"))
@@ -191,11 +186,25 @@ def simhash(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # Only fingerprints with a link can be in a component of more than one.
     several = named.join(count, "fp")
     low = several.groupBy("root").agg(F.min("low").alias("component_id"))
-    several = several.join(low, "root").select("fp", "component_id", "n_links")
-    table = cut(each.join(several, "fp", "left").select("fp", F.when(F.col("n_links").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    several = several.join(low, "root").select("fp", "root", "component_id", "n_links")
+    table = cut(each.join(several, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("n_links").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    return rows.join(table, "fp")
+
+
+def simhash(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, n_links for every row of docs (doc_id long, text string).
+
+    n_links counts the other distinct fingerprints within RADIUS bits. Null, empty and blank texts have fingerprint zero
+    and link like any other. Rows that repeat a doc_id count each. component_id is the smallest non-null doc_id that can
+    be reached (null if there is none). An empty table gives an empty result; other columns are not read.
+    """
+    return grouped(docs, size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def drop_near(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id is the component's id; all columns stay."""
-    return without(docs, simhash(docs, size).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """docs with exactly one row of each group: one whose doc_id is the component's id, or one without where none has any.
+
+    Rows are judged one by one: a row of another group with the doc_id of one that goes stays. All columns stay.
+    """
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return one_of_each(docs, grouped(docs, size).select("doc_id", "row", F.col("root").alias("group"), first.alias("first")))

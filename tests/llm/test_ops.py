@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, chat, exact_dedup, language_id, line_dedup, mixing, quality_lm, quality_rules, simhash, substring_dedup
-from graphloom.llm.common import fresh, without
+from graphloom.llm.common import fresh, one_of_each, without
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, _gone int, _plan string, passes string, kept string, lang_pred string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -511,6 +511,27 @@ def test_without(spark, docs, rows):
     assert fresh(docs, "TEXT") == "_TEXT"
 
 
+PAIR = "doc_id long, text string, source string"
+
+
+def test_drop_by_row(spark):
+    """Both stages keep exactly one row of each group, whatever other rows have its doc_id or none."""
+    letters = ["alpha bravo", "charlie delta", "echo foxtrot golf", "hotel india", "juliett kilo lima", "mike november"]
+    a, b, c, d, e, f = (" ".join(f"{w}{k}" for k in range(30) for w in x.split()) for x in letters)
+    rows = [(5, a, "s"), (9, a, "s"), (5, b, "s"), (None, a, "s"), (None, c, "s"), (None, d, "s"), (None, d, "t"), (None, d, "s"), (7, e, "s"), (7, e, "s"), (7, e.upper(), "s"), (8, f, "t"), (8, f, "s")]
+    docs = spark.createDataFrame(rows, PAIR).repartition(3)
+    exact = Counter((r["doc_id"], lower(r["text"])) for r in exact_dedup.drop_copies(docs).collect())
+    assert exact == Counter([(9, a), (5, b), (None, c), (None, d), (7, e), (8, f)])
+    assert Counter(r["doc_id"] for r in exact_dedup.drop_copies(docs, "smallest").collect()) == Counter([5, 5, None, None, 7, 8])
+    near = Counter((r["doc_id"], lower(r["text"])) for r in simhash.drop_near(docs).collect())
+    assert near == Counter([(5, a), (5, b), (None, c), (None, d), (7, e), (8, f)])
+    assert {r["source"] for r in exact_dedup.drop_copies(docs.where("doc_id = 8")).collect()} == {"s"}
+    # Above the limit for a broadcast, and with one group over several texts of a doc_id.
+    decided = docs.select("doc_id", F.xxhash64("text").alias("row"), F.lit(1).alias("group"), F.lit(True).alias("first"))
+    for limit in (100, 0):
+        assert one_of_each(docs, decided, limit).count() == 1
+
+
 def test_pipeline(spark, docs, none):
     import corpus_pipeline
 
