@@ -168,7 +168,7 @@ def cycles(g: Graph, edge_type: str, max_length: int | None = None, limit: int =
     Paths are extended level by level from their least node, through larger nodes only, and close when they come back;
     so each cycle is found once, in its canonical rotation. The edges are cut down to the cycles' core first. The report
     has `limit` cycles at most, the shortest first, and the search ends at the length that passes it (or max_length);
-    truncated says whether there are more.
+    truncated says whether there are more, or paths left at max_length that may close.
     """
     core = cycle_core(hops(edge_filter(g.edges, (edge_type,)), False))
     first = F.get("path", F.lit(0))
@@ -180,6 +180,7 @@ def cycles(g: Graph, edge_type: str, max_length: int | None = None, limit: int =
             found = cut(found.unionAll(paths.where(F.col("last") == first).select(F.col("path").alias("cycle"), F.lit(length).alias("length"))))
             more = found.limit(limit + 1).count() > limit
             if more or length == max_length:
+                more = more or not paths.where(F.col("last") != first).isEmpty()
                 break
             going = paths.where(F.col("last") != first).select(F.array_append("path", F.col("last")).alias("path"), F.col("last").alias("near"))
             longer = going.join(hop, "near").where((F.col("far") == first) | (F.col("far") > first) & ~F.array_contains("path", F.col("far")))

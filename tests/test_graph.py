@@ -87,6 +87,13 @@ def test_cycles(g):
     assert G.cycles(g, "calls", limit=1).collect()[0]["truncated"]
 
 
+def test_cycles_up_to_a_length(g):
+    """truncated tells that paths are left at max_length."""
+    short = G.cycles(g, "calls", max_length=1).collect()
+    assert [tuple(r["cycle"]) for r in short] == [("a.c",)] and short[0]["truncated"]
+    assert [r["truncated"] for r in G.cycles(g, "calls", max_length=3).collect()] == [False, False]
+
+
 def test_imports(g):
     assert pairs(G.importers_of(g, "b"), "from_ref", "n_sites") == [("a", 1)]
     assert pairs(G.importers_of(g, "m/c"), "from_ref") == [("d",)]
