@@ -1,27 +1,32 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Sizes are summed by (source, shard); only these sums, at most SHARDS a source, come to the driver. There the sources'
-targets are apportioned as whole blocks to the highest quotients target / (2 k + 1), and a source's blocks again to its
-shards. A shard with quota q of n blocks plays all blocks q // n times and q % n of them once more: documents stand in a
-seeded order, and the window of blocks starts at a seeded place and wraps around, so at most two documents of a shard
-are cut in part.
+A source's documents are dealt to shards by hash and stand there in a seeded order; every `block` words of a shard are a
+block, cut inside a document where they must. The sources' targets are apportioned as whole blocks to the highest
+quotients target / (2 k + 1), and a source's blocks again to its shards by their sizes. A shard with quota q of n blocks
+plays all blocks q // n times and q % n of them, chosen by a seeded permutation, once more. Only one row for each source
+comes to the driver; shards are apportioned source by source in the cluster.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.llm.common import WORD_CLASS, cut, fresh
 
 WEIGHTS, CEILING, SEED = (5, 2, 1), 3, 7
-#: Blocks the whole mix is cut into at least, and the smallest source; shards of a source, and documents of a shard.
-BLOCKS, LEAST_BLOCKS = 1 << 20, 64
-SHARDS, SHARD_DOCS = 4096, 400
+#: Words of a block, and of one where a source is small: its target makes PARTS blocks, but none under LEAST words.
+BLOCK, LEAST, PARTS = 4096, 16, 64
+#: Shards of a source at most (a power of two), and documents in one below that.
+SHARDS, SHARD_DOCS = 1 << 14, 400
+#: Sources whose plan is broadcast; with more it is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def water_level(total: int, sizes: list[int], weights: list[int], ceiling: int) -> list[Fraction]:
@@ -72,105 +77,117 @@ def apportion(votes: list[Fraction], seats: int, most: list[int]) -> list[int]:
     return quota
 
 
-def plan(rows: list[tuple[str | None, int, int]], weights=WEIGHTS, ceiling: int = CEILING) -> list[tuple]:
-    """(source, shard, source_size, target, shard_size, block, n, quota) from the sizes of (source, shard)."""
-    names = sorted({r[0] for r in rows}, key=lambda s: (s is None, s or ""))
-    size = dict.fromkeys(names, 0)
-    for name, _, words in rows:
-        size[name] += words
-    sizes = [size[n] for n in names]
-    total = sum(sizes)
-    targets = water_level(total, sizes, [weights[i % len(weights)] for i in range(len(names))], ceiling)
-    block = max(1, min(total // BLOCKS, min((s for s in sizes if s), default=1) // LEAST_BLOCKS), max((r[2] for r in rows), default=0) >> 30)
-    n = {(s, k): -(-words // block) for s, k, words in rows}
-    shards: dict = {name: [] for name in names}
-    for s, k, words in sorted(rows, key=lambda r: r[1]):
-        shards[s].append((k, words))
-    most = [ceiling * sum(n[name, k] for k, _ in shards[name]) for name in names]
+def sources_plan(rows: list[tuple[str | None, int, int]], weights=WEIGHTS, ceiling: int = CEILING, block: int | None = None) -> list[tuple]:
+    """(source, source_size, target, block, quota, shards) from (source, documents, words) of each source."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    sizes, total = [r[2] for r in rows], sum(r[2] for r in rows)
+    targets = water_level(total, sizes, [weights[i % len(weights)] for i in range(len(rows))], ceiling)
+    least = min((t for t in targets if t), default=Fraction(1))
+    block = block or int(max(LEAST, min(BLOCK, least // PARTS)))
+    # A shard has at most one block that isn't full.
+    most = [ceiling * (-(-size // block) if size else 0) for size in sizes]
     quotas = apportion(targets, int(total / Fraction(block) + Fraction(1, 2)), most)
     out = []
-    for name, target, quota in zip(names, targets, quotas, strict=True):
-        own = shards[name]
-        parts = apportion([Fraction(w) for _, w in own], quota, [ceiling * n[name, k] for k, _ in own])
-        out += [(name, k, size[name], float(target), w, block, n[name, k], q) for (k, w), q in zip(own, parts, strict=True)]
+    for (name, docs, size), target, quota in zip(rows, targets, quotas, strict=True):
+        shards = 1
+        # Shards hold many blocks each, so that those which aren't full count little.
+        while shards < SHARDS and shards * SHARD_DOCS < docs and shards * 64 * block < size:
+            shards *= 2
+        out.append((name, size, float(target), block, quota, shards))
     return out
 
 
-PLAN = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_shard", T.LongType())] + [T.StructField(n, T.DoubleType() if n == "target" else T.LongType()) for n in ("source_size", "target", "shard_size", "block", "n", "quota")])
+def shards_plan(source: str, sizes: dict[int, int], block: int, quota: int, ceiling: int, seed: int) -> list[tuple]:
+    """(shard, n, passes, extra, stride, first) for each shard of a source. Block b of n is played once more than `passes`
+    if (b * stride + first) % n < extra; stride has no divisor in common with n, so just `extra` blocks are."""
+    own = sorted(sizes.items())
+    n = [-(-words // block) for _, words in own]
+    parts = apportion([Fraction(words) for _, words in own], quota, [ceiling * k for k in n])
+    out = []
+    for (shard, _), k, q in zip(own, n, parts, strict=True):
+        draw = xxhash.xxh64_intdigest(f"{source}/{shard}", seed)
+        stride, first = (draw >> 32) % k + 1 if k else 1, (draw & 0xFFFFFFFF) % k if k else 0
+        while k and math.gcd(stride, k) > 1:
+            stride += 1
+        out.append((shard, k, q // k if k else 0, q % k if k else 0, stride, first))
+    return out
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
-def taken_before(at: Column, first: Column, blocks: Column, block: Column, size: Column) -> Column:
-    """Words of a shard before word `at` that lie in the window of `blocks` blocks from `first` on, around the end."""
-    low, high = first * block, F.least((first + blocks) * block, size)
-    wrapped = F.greatest(first + blocks - F.col("n"), F.lit(0)) * block
-    return F.greatest(F.least(at, high) - low, F.lit(0)) + F.least(at, wrapped)
+def chosen(block: Column) -> Column:
+    """Whether a block is played once more."""
+    return F.pmod(block * F.col("stride") + F.col("first"), F.greatest(F.col("n"), F.lit(1))) < F.col("extra")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, passes, from_word, to_word for every row of docs (doc_id, text, source).
+def planned(docs: DataFrame, whole: bool, weights, ceiling: int, seed: int, block: int | None) -> DataFrame:
+    """row (a struct of doc_id, or of all columns), size, start (words of its shard before it) and its shard's plan."""
+    spark = docs.sparkSession
+    # The row's own text is part of the draw: rows that repeat a doc_id, or have none, don't meet in one shard.
+    draw = lambda k: F.xxhash64(F.lit(seed + k), "doc_id", "text")
+    kept = F.struct(*(docs[c] for c in docs.columns)) if whole else F.struct("doc_id")
+    # A key that is never null.
+    source = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
+    rows = docs.select(kept.alias("row"), source.alias("source"), words(F.col("text")).alias("size"), draw(0).alias("order"), F.pmod(draw(1), F.lit(SHARDS)).cast("int").alias("deal"))
+    if not whole:
+        rows = cut(rows)
+    fine = cut(rows.groupBy("source", "deal").agg(F.count("*").alias("docs"), F.sum("size").alias("w")))
+    totals = [(r["source"][1:] if r["source"] else None, r["docs"], r["w"]) for r in fine.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("w").alias("w")).collect()]
+    plan = [("" if name is None else f"={name}", *rest) for name, *rest in sources_plan(totals, weights, ceiling, block)]
+    plan = spark.createDataFrame(plan, "source string, source_size long, target double, block long, quota long, shards int")
+    if len(totals) <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    shard = F.col("deal").bitwiseAND(F.col("shards") - 1)
+    sums = fine.join(plan, "source").groupBy("source", "block", "quota", shard.alias("shard")).agg(F.sum("w").alias("w"))
+
+    def apportioned(group: pd.DataFrame) -> pd.DataFrame:
+        name, size, quota = group["source"].iloc[0], int(group["block"].iloc[0]), int(group["quota"].iloc[0])
+        found = shards_plan(name, dict(zip(group["shard"].tolist(), group["w"].tolist(), strict=True)), size, quota, ceiling, seed)
+        return pd.DataFrame([(name, *x) for x in found], columns=["source", "shard", "n", "passes", "extra", "stride", "first"])
+
+    # A group has at most SHARDS rows.
+    shards = cut(sums.groupBy("source").applyInPandas(apportioned, "source string, shard int, n long, passes long, extra long, stride long, first long"))
+    before = Window.partitionBy("source", "shard").orderBy("order", "size", "row.doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(plan, "source").withColumn("shard", shard).join(shards, ["source", "shard"])
+    return joined.withColumn("start", F.sum("size").over(before) - F.col("size"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: int = SEED, block: int | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, passes for every row of docs (doc_id, text, source).
 
     A document's size is its number of words (null text: 0). Sources, by code point with null last, weigh in turn
     `weights` and share all words; targets over `ceiling` times a source's size are cut and shared again. taken counts
-    the words the mix takes: `passes` whole copies and the words from_word to to_word (exclusive, 0-based; wrap_to more
-    from the start where the window wraps around inside the document). A source of no words has target 0. Rows that
-    repeat a doc_id count each; all ties are broken by size, so equal rows are interchangeable. An empty table gives an
-    empty result. The number of distinct sources times SHARDS must fit the driver.
+    the words the mix takes: `passes` whole copies and the document's share of the blocks that are played once more.
+    block is the words of a block; without it BLOCK, or less where the least target wouldn't make PARTS such blocks. A
+    source of no words has target 0. Rows that repeat a doc_id count each; rows with equal doc_id and text are
+    interchangeable. An empty table gives an empty result. A row for each distinct source must fit the driver.
     """
-    spark = docs.sparkSession
-    sized = cut(docs.select("doc_id", F.col("source").alias("_source"), words(F.col("text")).alias("size")))
-    count = {r["_source"]: r["n"] for r in sized.groupBy("_source").agg(F.count("*").alias("n")).collect()}
-    pieces = {s: min(SHARDS, -(-n // SHARD_DOCS)) for s, n in count.items()}
-    table = spark.createDataFrame([(s, k) for s, k in pieces.items()], "_s string, _pieces long")
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sized.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_s"))).select("doc_id", "_source", "size", order.alias("_order"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("_pieces")).alias("_shard"))
-    sums = rows.groupBy("_source", "_shard").agg(F.sum("size").alias("w")).collect()
-    quotas = spark.createDataFrame(plan([tuple(r) for r in sums], weights, ceiling), PLAN)
-    start = F.sum("size").over(Window.partitionBy("_source", "_shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = rows.withColumn("_start", start)
-    quotas = quotas.withColumnsRenamed({"_source": "_s", "_shard": "_k"})
-    # One row for each shard: its size is bounded by the sources times SHARDS.
-    known = placed.join(F.broadcast(quotas), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_k")))
-    least = F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(1))
-    extra = F.pmod("quota", least)
-    first = F.pmod(F.xxhash64(F.lit(seed + 2), "_source", "_shard"), least)
-    before = lambda at: taken_before(at, first, extra, F.col("block"), F.col("shard_size"))
-    end = F.col("_start") + F.col("size")
-    passes = F.floor(F.col("quota") / least).cast("long")
-    low, high = first * F.col("block"), F.least((first + extra) * F.col("block"), F.col("shard_size"))
-    wrapped = F.greatest(first + extra - F.col("n"), F.lit(0)) * F.col("block")
-    inside = lambda at: F.greatest(F.least(at - F.col("_start"), F.col("size")), F.lit(0))
-    some = extra > 0
-    return known.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (passes * F.col("size") + before(end) - before(F.col("_start"))).cast("long").alias("taken"),
-        F.when(F.col("size") > 0, passes).otherwise(F.lit(0)).cast("long").alias("passes"),
-        F.when(some, inside(low)).otherwise(0).cast("long").alias("from_word"),
-        F.when(some, inside(high)).otherwise(0).cast("long").alias("to_word"),
-        F.when(some, inside(wrapped)).otherwise(0).cast("long").alias("wrap_to"),
-    )
-
-
-def mixed(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
-    """The mix itself, with the columns of docs: whole documents once for each pass, and parts where a block begins or ends.
-
-    A part is the document's words joined by a space. doc_ids should be unique here: the plan is joined back by doc_id,
-    and rows that repeat one are taken as planned for each of them, with equal plans taken once.
+    rows = planned(docs, False, weights, ceiling, seed, block)
+    low, high, size = F.col("start"), F.col("start") + F.col("size"), F.col("block")
+    blocks = F.sequence(F.floor(low / size), F.floor((high - 1) / size))
+    inside = lambda b: F.when(chosen(b), F.least(high, (b + 1) * size) - F.greatest(low, b * size)).otherwise(F.lit(0)).cast("long")
+    extra = F.when((F.col("extra") > 0) & (F.col("size") > 0), F.aggregate(blocks, F.lit(0).cast("long"), lambda s, b: s + inside(b))).otherwise(F.lit(0))
+    taken = (F.col("passes") * F.col("size") + extra).cast("long")
+    return rows.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), "passes")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: int = SEED, block: int | None = None) -> DataFrame:
+    """The mix itself, with the columns of docs: each row's text once for each pass, and once more what of it lies in the
+    blocks that are played again: the text as it is if that is all of it, else those words joined by a space.
+
+    Every row is taken as `mix` plans it, whatever other rows have its doc_id or text; a row's columns travel with it.
     """
-    plan, text = fresh(docs, "_plan"), fresh(docs, "_text")
-    chosen = mix(docs, weights, ceiling, seed).where("taken > 0").select(F.struct("doc_id", "passes", "from_word", "to_word", "wrap_to", "size").alias(plan)).distinct()
-    p = lambda name: F.col(plan)[name]
-    tokens = F.regexp_extract_all(docs["text"], F.lit(WORD_CLASS), F.lit(0))
-    piece = lambda a, b: F.array_join(F.slice(tokens, a + F.lit(1), b - a), " ")
-    whole = (p("to_word") - p("from_word")) == p("size")
-    part = F.when(whole, docs["text"]).when(p("to_word") > p("from_word"), piece(p("from_word").cast("int"), p("to_word").cast("int")))
-    wrap = F.when(p("wrap_to") >= p("size"), docs["text"]).when(p("wrap_to") > 0, piece(F.lit(0), p("wrap_to").cast("int")))
-    copies = F.filter(F.concat(F.array_repeat(docs["text"], p("passes").cast("int")), F.array(part, wrap)), lambda x: x.isNotNull())
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(p("doc_id"))).where(words(docs["text"]) == p("size"))
-    return joined.withColumn(text, F.explode(copies)).select(*[F.col(text).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    text = fresh(docs, "_text")
+    rows = planned(docs, True, weights, ceiling, seed, block)
+    low, high, size = F.col("start"), F.col("start") + F.col("size"), F.col("block")
+    blocks = F.sequence(F.floor(low / size), F.floor((high - 1) / size))
+    some = (F.col("extra") > 0) & (F.col("size") > 0)
+    rows = rows.withColumn("all", F.when(some, F.forall(blocks, chosen)).otherwise(False)).withColumn("any", F.when(some, F.exists(blocks, chosen)).otherwise(False))
+    played = lambda _, k: chosen(F.floor((low + k) / size))
+    part = F.array_join(F.filter(F.regexp_extract_all("row.text", F.lit(WORD_CLASS), F.lit(0)), played), " ")
+    more = F.when(F.col("all"), F.array("row.text")).when(F.col("any"), F.array(part)).otherwise(F.array().cast("array<string>"))
+    passes = F.when(F.col("size") > 0, F.col("passes")).otherwise(F.lit(0)).cast("int")
+    copies = rows.where((passes > 0) | F.col("any")).select("row", F.explode(F.concat(F.array_repeat("row.text", passes), more)).alias(text))
+    return copies.select(*[F.col(text).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
