@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding as a tree reduction.
 
 A text is halved until its parts are at most LEAF characters; leaves are encoded by themselves. Two neighbours are
-joined by encoding again a window around the cut and keeping the tokens on both sides. The window grows, in steps of
-doubling width, to a place on either side where every segmentation of any text with these characters around it has a
-boundary: between two characters of which the second is white space and the first isn't, or of which both are visible and of different classes
-(letter, number, other), the first not being an apostrophe. No match of the pattern can cross such a place, nor can what
-lies beyond it change a match before it, so the tokens outside of the window are those of the whole text. A node is a
-list of ids and a span; a join takes tokens off by their byte lengths. Decoding concatenates the halves up the tree.
+joined by encoding again a window around the cut and keeping the tokens on both sides. The window grows to a place on
+either side where every segmentation of any text with these characters around it has a boundary: between two characters
+of which the second is white space and the first isn't, or of which both are visible and of different classes (letter,
+number, other), the first not being an apostrophe. No match of the pattern can cross such a place, nor can what lies
+beyond it change a match before it, so the tokens outside of the window are those of the whole text. A node is a list of
+ids and a span; a join takes tokens off by their byte lengths. Where no such place comes for long, a match that the cut
+divides is joined from the tokens of its two parts. Decoding concatenates the halves up the tree.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import types as T
 from graphloom.llm.common import fresh, pieces
 
 #: Characters of a leaf, and of a window's side at first.
-LEAF, WINDOW = 4096, 16
-#: Longer matches are encoded by their own tree, over bytes.
+LEAF, WINDOW = 384, 16
+#: Longer windows are joined match by match, and longer matches encoded by a tree of their own over bytes.
 LONG_MATCH = 512
 
 
@@ -38,11 +40,14 @@ class Codec:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.leaf = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.length = {rank: len(token) for token, rank in ranks.items()}
-        self.label = {rank: str(rank) for rank in ranks.values()}
-        self.long = regex.compile(r"(?<!\p{L})\p{L}{%d,}|(?<!\p{N})\p{N}{%d,}|(?<![^\s\p{L}\p{N}])[^\s\p{L}\p{N}]{%d,}|\s{%d,}" % ((LONG_MATCH,) * 4))
-        self.pair = functools.lru_cache(1 << 16)(self.together)
+        self.pattern = regex.compile(pattern)
+        self.ranks = ranks
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.length = list(map(len, self.tokens))
+        self.label = list(map(str, range(len(self.tokens))))
+        self.pair = functools.lru_cache(1 << 14)(self.together)
 
     # -- text level ------------------------------------------------------------------------------------------------
 
@@ -52,7 +57,7 @@ class Codec:
 
     def tree(self, text: str, a: int, b: int) -> list[int]:
         if b - a <= LEAF:
-            return self.segment(text[a:b])
+            return self.leaf.encode_ordinary(text[a:b])
         cut = (a + b) // 2
         left, right = self.tree(text, a, cut), self.tree(text, cut, b)
         return self.join(text, a, cut, b, left, right)
@@ -62,8 +67,12 @@ class Codec:
         low, high = self.before(text, a, cut), self.after(text, cut, b)
         k = self.tokens_over(left, len(text[low:cut].encode()), last=True)
         m = self.tokens_over(right, len(text[cut:high].encode()), last=False)
+        if high - low < LONG_MATCH:
+            middle = self.leaf.encode_ordinary(text[low:high])
+        else:
+            middle = self.around(text[low:high], cut - low, left[len(left) - k :], right[:m])
         del left[len(left) - k :]
-        left += self.segment(text[low:high])
+        left += middle
         left += right[m:] if m else right
         return left
 
@@ -72,22 +81,23 @@ class Codec:
     def kind(c: str) -> str:
         return "L" if c.isalpha() and regex.match(r"\p{L}", c) else "S" if regex.match(r"\s", c) else "N" if regex.match(r"\p{N}", c) else "O"
 
-    def certain(self, text: str, at: int) -> bool:
-        """Whether any segmentation of a text with these characters has a boundary here."""
-        one, two = text[at - 1], text[at]
-        k, m = self.kind(one), self.kind(two)
-        return k != "S" and (m == "S" or k != m and one != "'")
+    @staticmethod
+    @functools.lru_cache(1 << 15)
+    def certain(two: str) -> bool:
+        """Whether any segmentation of a text with these two characters has a boundary between them."""
+        k, m = map(Codec.kind, two)
+        return k != "S" and (m == "S" or k != m and two[0] != "'")
 
     def before(self, text: str, a: int, cut: int) -> int:
         """The last certain boundary at least WINDOW before the cut, or the start."""
         at = max(a, cut - WINDOW)
-        while at > a and not self.certain(text, at):
+        while at > a and not self.certain(text[at - 1 : at + 1]):
             at -= 1
         return at
 
     def after(self, text: str, cut: int, b: int) -> int:
         at = min(b, cut + WINDOW)
-        while at < b and not self.certain(text, at):
+        while at < b and not self.certain(text[at - 1 : at + 1]):
             at += 1
         return at
 
@@ -101,27 +111,72 @@ class Codec:
             raise ValueError("no token boundary at a certain place")
         return k
 
-    def segment(self, text: str) -> list[int]:
-        """Ids of a text with no tree above its matches; long matches have their own."""
-        if len(text) < LONG_MATCH or not self.long.search(text):
-            return self.leaf.encode_ordinary(text)
+    # -- windows without a certain boundary for long -----------------------------------------------------------------
+
+    def around(self, text: str, cut: int, left: list[int], right: list[int]) -> list[int]:
+        """Ids of a long window from those of its two sides: a match that either side has too keeps its tokens, one that
+        the cut divides into a match of either side is joined from theirs, only others are encoded anew."""
+        sides = self.matches(text[:cut], 0, left), self.matches(text[cut:], cut, right)
         ids: list[int] = []
-        for match in regex.finditer(self.leaf._pat_str, text):
-            ids += self.match(match.group().encode())
+        for found in self.pattern.finditer(text):
+            span = found.span()
+            known = sides[span[0] >= cut].get(span)
+            if known is None and span[0] < cut < span[1]:
+                one, two = sides[0].get((span[0], cut)), sides[1].get((cut, span[1]))
+                if one is not None and two is not None:
+                    known = self.joined(one, two)
+            ids += self.match(found.group().encode()) if known is None else known
         return ids
 
+    def matches(self, text: str, at: int, ids: list[int]) -> dict[tuple[int, int], list[int]]:
+        """The ids of each match of a text, by its place in one where this text begins at `at`."""
+        out, first = {}, 0
+        for found in self.pattern.finditer(text):
+            size, last = len(found.group().encode()), first
+            while size > 0:
+                size -= self.length[ids[last]]
+                last += 1
+            out[found.start() + at, found.end() + at] = ids[first:last]
+            first = last
+        return out
+
     # -- inside one match ------------------------------------------------------------------------------------------
 
     def match(self, piece: bytes) -> list[int]:
         """Ids of one match, by halves of its bytes."""
         if len(piece) <= LONG_MATCH:
-            return self.leaf._encode_single_piece(piece)
+            return self.merged(piece)
         cut = len(piece) // 2
         return self.joined(self.match(piece[:cut]), self.match(piece[cut:]))
 
+    def merged(self, piece: bytes) -> list[int]:
+        """Ids of a short piece: while two neighbours make a token, those of the least rank, leftmost first, become one."""
+        if (whole := self.ranks.get(piece)) is not None:
+            return [whole]
+        n = len(piece)
+        # A part goes from its first byte to ends[first]; `before` has the first byte of the part on its left.
+        ends, before, alive = list(range(1, n + 1)), list(range(-1, n)), [True] * n
+        queue = [(rank, i, i + 2) for i in range(n - 1) if (rank := self.ranks.get(piece[i : i + 2])) is not None]
+        heapq.heapify(queue)
+
+        def offer(first: int) -> None:
+            if first >= 0 and ends[first] < n and (rank := self.ranks.get(piece[first : ends[ends[first]]])) is not None:
+                heapq.heappush(queue, (rank, first, ends[ends[first]]))
+
+        while queue:
+            _, first, end = heapq.heappop(queue)
+            if alive[first] and ends[first] < n and ends[ends[first]] == end:
+                alive[ends[first]] = False
+                ends[first] = end
+                if end < n:
+                    before[end] = first
+                offer(first)
+                offer(before[first])
+        return [self.ranks[piece[i : ends[i]]] for i in range(n) if alive[i]]
+
     def together(self, a: int, b: int) -> bool:
         """Whether two tokens side by side are the encoding of their bytes."""
-        return self.leaf._encode_single_piece(self.tokens[a] + self.tokens[b]) == [a, b]
+        return self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """A sequence of tokens is the encoding of its bytes just if each two neighbours are that of theirs. So the
@@ -129,7 +184,7 @@ class Codec:
         k = 1
         while True:
             a, b = left[-k:], right[:k]
-            mid = self.leaf._encode_single_piece(b"".join(map(self.tokens.__getitem__, a + b)))
+            mid = self.merged(b"".join(map(self.tokens.__getitem__, a + b)))
             fits_left = k >= len(left) or self.pair(left[-k - 1], mid[0])
             fits_right = k >= len(right) or self.pair(mid[-1], right[k])
             if fits_left and fits_right:
