@@ -122,7 +122,7 @@ def find_path(g: Graph, start: str, end: str, max_depth: int = 10) -> DataFrame:
     edges = g.edges.select("from_ref", "to_ref", "edge_type")
     if g.contracts is not None:
         edges = edges.unionByName(g.contracts.where(~F.col("suggested")).select("from_ref", "to_ref", F.lit("contract").alias("edge_type")))
-    with kept(edges.groupBy(F.col("from_ref").alias("near"), F.col("to_ref").alias("far")).agg(F.min("edge_type").alias("edge_type")), "near") as hop:
+    with kept(edges.groupBy(F.col("from_ref").alias("near"), F.col("to_ref").alias("far")).agg(F.min("edge_type").alias("edge_type"))) as hop:
         visited = cut(g.spark.createDataFrame([(start, None, None, 0)], "node string, parent string, edge_type string, level int"))
         frontier, rows, level = visited, 1, 0
         while rows and level < max_depth:
@@ -165,26 +165,40 @@ def cycle_core(edges: DataFrame, rounds: int = 64) -> DataFrame:
 def cycles(g: Graph, edge_type: str, max_length: int | None = None, limit: int = 1000) -> DataFrame:
     """cycle (array of refs, the least first), length: distinct simple cycles of one edge type.
 
-    Paths are extended level by level from their least node, through larger nodes only, and close when they come back;
-    so each cycle is found once, in its canonical rotation. The edges are cut down to the cycles' core first. The report
-    has `limit` cycles at most, the shortest first, and the search ends at the length that passes it (or max_length);
-    truncated says whether there are more, or paths left at max_length that may close.
+    A cycle of n edges is a path of n - n // 2 edges from its least node, through larger ones only, and a path of n // 2
+    edges back to it, which meet in their ends and share nothing else; so each cycle is found once, in its canonical
+    rotation, and paths grow half as long as cycles. The edges are cut down to the cycles' core first. The report has
+    `limit` cycles at most, the shortest first, and the search ends at the length that passes it (or max_length);
+    truncated says whether there are more, or paths of max_length edges that may close later.
     """
+
+    def longer(paths: DataFrame) -> DataFrame:
+        grown = paths.select("head", F.array_append("path", F.col("last")).alias("path"), F.col("last").alias("near")).join(hop, "near")
+        return cut(grown.where((F.col("far") > F.col("head")) & ~F.array_contains("path", F.col("far"))).select("head", "path", F.col("far").alias("last")))
+
     core = cycle_core(hops(edge_filter(g.edges, (edge_type,)), False))
-    first = F.get("path", F.lit(0))
-    found, more, length = core.where("false").select(F.array("near").alias("cycle"), F.lit(0).alias("length")), False, 0
-    with kept(core, "near") as hop:
-        paths = cut(core.where("far >= near").select(F.array("near").alias("path"), F.col("far").alias("last")))
-        while not paths.isEmpty():
+    found = cut(core.where("near = far").select(F.array("near").alias("cycle"), F.lit(1).alias("length")))
+    upward = core.where("far > near")
+    with kept(core.where("near <> far")) as hop:
+        # head: the least node; path: from it on, last: the end. Of the ways back, path ends at the head.
+        there = cut(upward.select(F.col("near").alias("head"), F.array("near").alias("path"), F.col("far").alias("last")))
+        back = cut(core.where("near > far").select(F.col("far").alias("head"), F.array("near").alias("path"), F.col("near").alias("last")))
+        length, size, more = 1, found.limit(limit + 1).count(), False
+        while size <= limit and length != max_length and not there.isEmpty():
             length += 1
-            found = cut(found.unionAll(paths.where(F.col("last") == first).select(F.col("path").alias("cycle"), F.lit(length).alias("length"))))
-            more = found.limit(limit + 1).count() > limit
-            if more or length == max_length:
-                more = more or not paths.where(F.col("last") != first).isEmpty()
-                break
-            going = paths.where(F.col("last") != first).select(F.array_append("path", F.col("last")).alias("path"), F.col("last").alias("near"))
-            longer = going.join(hop, "near").where((F.col("far") == first) | (F.col("far") > first) & ~F.array_contains("path", F.col("far")))
-            paths = cut(longer.select("path", F.col("far").alias("last")))
+            if length > 2 and length % 2:
+                there = longer(there)
+            elif length > 2:
+                grown = back.withColumnRenamed("last", "far").join(hop, "far")
+                back = cut(grown.where((F.col("near") > F.col("head")) & ~F.array_contains("path", F.col("near"))).select("head", F.array_prepend("path", F.col("near")).alias("path"), F.col("near").alias("last")))
+            met = there.join(back.withColumnRenamed("path", "rest"), ["head", "last"]).where(~F.arrays_overlap("path", "rest"))
+            found = cut(found.unionAll(met.select(F.concat("path", "rest").alias("cycle"), F.lit(length).alias("length"))))
+            size = found.limit(limit + 1).count()
+        more = size > limit
+        if length == max_length and not more:
+            for _ in range(length // 2):
+                there = longer(there)
+            more = not there.isEmpty()
     return found.orderBy("length", "cycle").limit(limit).withColumn("truncated", F.lit(more))
 
 
@@ -319,7 +333,7 @@ def affected_tests(g: Graph, files: list[str], depth: int = 5, evidence: int = 5
     start = declared.select("node", F.array("node").alias("origins")).distinct()
     edges = edge_filter(g.edges, ("calls", "references")).select(F.col("to_ref").alias("near"), F.col("from_ref").alias("far"), "pos_file")
     hits = None
-    with kept(edges, "near") as hop:
+    with kept(edges) as hop:
         visited = frontier = cut(start)
         rows = frontier.count()
         for _ in range(depth):

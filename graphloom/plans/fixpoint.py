@@ -1,7 +1,8 @@
 """Semi-naive loops: level-wise traversal, reachability, layering and shortest paths as DataFrame steps.
 
-Adjacency is dealt by its near end once and kept for all levels, so a level shuffles its frontier only, or broadcasts it
-while it is small. Every level's new nodes are checkpointed; a level's edges stay lazy and are read once, in the result.
+Adjacency is kept for all levels as it comes, not dealt by its near end: a hub's edges stay in many tasks. A frontier is
+broadcast to it while it is small; a large one is joined by shuffle, where a hub's rows are split at run time. Every
+level's new nodes are checkpointed; a level's edges stay lazy and are read once, in the result.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from graphloom.plans.materialize import cut, offered
 
 
 @contextmanager
-def kept(df: DataFrame, *keys: str):
-    """df dealt by keys and held for the time of a loop; lost parts are computed again from its lineage."""
-    held = df.repartition(*keys).persist() if keys else df.persist()
+def kept(df: DataFrame):
+    """df held for the time of a loop; lost parts are computed again from its lineage."""
+    held = df.persist()
     try:
         yield held
     finally:
@@ -29,7 +30,7 @@ def levels(adjacency: DataFrame, start: DataFrame, depth: int | None = None) ->
     visited = cut(start.select("node", F.lit(0).alias("level")).distinct())
     frontier, level = visited, 0
     rows = frontier.count()
-    with kept(adjacency.select("near", "far"), "near") as hops:
+    with kept(adjacency.select("near", "far")) as hops:
         while rows and (depth is None or level < depth):
             level += 1
             reached = hops.join(offered(frontier.select(F.col("node").alias("near")), rows), "near").select(F.col("far").alias("node")).distinct()
@@ -45,20 +46,25 @@ def levels(adjacency: DataFrame, start: DataFrame, depth: int | None = None) ->
 def longest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, level: the longest path from node down to a node without edges (near depends on far); 0 on or above a cycle.
 
-    Leaves are peeled in rounds. A node is done when all it depends on is done; those that never are get level 0.
+    Leaves are peeled in rounds: each node counts the nodes it waits for, and a round takes those that became ready off
+    the counts. Edges are read, never written again. Nodes that wait for ever get level 0.
     """
-    edges = cut(edges.select("near", "far").where("near <> far").distinct())
-    blocked = edges.select(F.col("near").alias("node")).distinct()
-    ready = cut(nodes.select("node").distinct().join(blocked, "node", "left_anti").select("node", F.lit(0).alias("level")))
-    done, level, rows = ready, 0, ready.count()
-    while rows:
-        level += 1
-        left = cut(edges.join(offered(ready.select(F.col("node").alias("far")), rows), "far", "left_anti"))
-        # Ready now: what had edges before this round and has none left.
-        before, after = (e.select(F.col("near").alias("node")).distinct() for e in (edges, left))
-        ready = cut(before.join(after, "node", "left_anti").select("node", F.lit(level).alias("level")))
-        rows, edges, done = ready.count(), left, done.unionByName(ready)
-        if level % 16 == 0:
-            done = cut(done)
-    cyclic = edges.select(F.col("near").alias("node")).distinct()
-    return done.unionByName(cyclic.join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.lit(0).alias("level")))
+    nodes = nodes.select("node").distinct()
+    with kept(edges.select("near", "far").where("near <> far").distinct()) as hops:
+        waits = hops.groupBy(F.col("near").alias("node")).agg(F.count("*").alias("n"))
+        state = cut(nodes.join(waits, "node", "left").select("node", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
+        done, level = None, 0
+        while True:
+            ready = state.where("n = 0").select("node")
+            rows = ready.count()
+            if not rows:
+                break
+            now = ready.withColumn("level", F.lit(level))
+            done = now if done is None else done.unionByName(now)
+            met = hops.join(offered(ready.withColumnRenamed("node", "far"), rows), "far").groupBy(F.col("near").alias("node")).agg(F.count("*").alias("less"))
+            state = cut(state.where("n > 0").join(met, "node", "left").select("node", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")))
+            level += 1
+            if level % 16 == 0:
+                done = cut(done)
+    never = state.where("n > 0").select("node", F.lit(0).alias("level"))
+    return never if done is None else done.unionByName(never)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import render as RD
 from graphloom.functions import text as X
 from graphloom.model import LIVE, Graph
 from graphloom.operators import contracts as C
@@ -89,10 +90,9 @@ def merge_edges(t):
     return t.edges.select("from_ref", "to_ref", "edge_type", F.size("sites").cast("long").alias("n_sites"), "pos_file", "pos_line")
 
 
-@query(f"""{WITH} SELECT qualified_name, pos_file, pos_line, min((kind, signature, receiver)).kind AS kind FROM sym WHERE k % 2 = 0 GROUP BY qualified_name, pos_file, pos_line""".replace("min((kind, signature, receiver)).kind", "arg_min(kind, (kind, signature, receiver))"))
+@query(f"""{WITH} SELECT qualified_name, pos_file, pos_line, min((kind, signature, receiver)).kind AS kind FROM sym GROUP BY qualified_name, pos_file, pos_line""".replace("min((kind, signature, receiver)).kind", "arg_min(kind, (kind, signature, receiver))"))
 def dedup_symbols(t):
-    even = t.symbols.where("pos_line % 2 = 0")
-    return S.dedup_symbols(even.unionByName(even)).select("qualified_name", "pos_file", "pos_line", "kind")
+    return S.dedup_symbols(t.symbols.unionByName(t.symbols)).select("qualified_name", "pos_file", "pos_line", "kind")
 
 
 @query(f"""WITH o AS (SELECT path, repo || chr(0) || coalesce(content, '') AS d FROM {FILE} WHERE length(path) % 10 <> 0), n AS (SELECT path, repo || chr(0) || CASE WHEN length(content) % 7 = 0 THEN upper(content) ELSE coalesce(content, '') END AS d FROM {FILE} WHERE length(path) % 10 <> 1)
@@ -382,35 +382,34 @@ def reachable_calls(t):
     return G.reachable(t.graph(sites=False), start, ("calls",))
 
 
-@query(f"""{WITH}, root AS (SELECT qualified_name AS node FROM sym WHERE NOT is_test AND exported AND k % 50 = 1), e AS (SELECT * FROM edge JOIN sym s ON from_ref = s.qualified_name WHERE s.k % 4 <> 0),
+@query(f"""{WITH}, root AS (SELECT qualified_name AS node FROM sym WHERE NOT is_test AND exported), e AS (SELECT * FROM edge),
 r(node) AS (SELECT node FROM root UNION SELECT to_ref FROM r JOIN e ON from_ref = node AND edge_type IN ('calls', 'references', 'satisfies', 'embeds')),
 me AS (SELECT qualified_name, name, substr(qualified_name, 1, length(qualified_name) - length(name) - 1) AS owner FROM sym WHERE kind = 'method' AND NOT is_test),
 di AS (SELECT e.from_ref || '.' || me.name AS q FROM me JOIN r ON r.node = me.qualified_name JOIN e ON e.to_ref = me.owner AND edge_type = 'satisfies')
-SELECT qualified_name, kind, signature, pos_file, pos_line FROM sym WHERE NOT is_test AND NOT (exported AND k % 50 = 1) AND NOT is_generated AND qualified_name NOT IN (SELECT node FROM r) AND qualified_name NOT IN (SELECT q FROM di)
+SELECT qualified_name, kind, signature, pos_file, pos_line FROM sym WHERE NOT is_test AND NOT exported AND NOT is_generated AND qualified_name NOT IN (SELECT node FROM r) AND qualified_name NOT IN (SELECT q FROM di)
 AND NOT (kind = 'method' AND substr(qualified_name, 1, length(qualified_name) - length(name) - 1) IN (SELECT qualified_name FROM sym WHERE kind = 'interface' AND NOT is_test))""")
 def unused(t):
-    symbols = t.symbols.withColumn("exported", F.col("exported") & (F.col("pos_line") % 50 == 1))
-    some = t.symbols.where("pos_line % 4 <> 0").select(F.col("qualified_name").alias("from_ref"))
-    return G.unused(Graph(symbols=symbols, packages=t.sql(A.PACKAGES), edges=t.bare_edges.join(some, "from_ref", "left_semi")))
+    return G.unused(t.graph(sites=False))
 
 
 FAR = "(SELECT qualified_name FROM sym WHERE name = 'P77')"
 
 
-@query(f"""{WITH}, e AS (SELECT from_ref, to_ref FROM edge UNION SELECT from_ref, to_ref FROM {CON} c WHERE NOT suggested), lv(node, level) AS (SELECT {START}, 0 UNION SELECT to_ref, level + 1 FROM lv JOIN e ON from_ref = node WHERE level < 6)
-SELECT min(level) AS length FROM lv WHERE node = {FAR}""")
+@query(f"""{WITH}, e AS (SELECT from_ref, to_ref, min(edge_type) AS edge_type FROM (SELECT from_ref, to_ref, edge_type FROM edge UNION SELECT from_ref, to_ref, 'contract' FROM {CON} c WHERE NOT suggested) GROUP BY ALL),
+lv(node, level) AS (SELECT {START}, 0 UNION SELECT to_ref, level + 1 FROM lv JOIN e ON from_ref = node WHERE level < 10), m AS MATERIALIZED (SELECT node, min(level) AS level FROM lv GROUP BY node),
+pt AS MATERIALIZED (SELECT a.node, a.level, min((e.from_ref, e.edge_type)) AS p FROM m a JOIN e ON e.to_ref = a.node JOIN m b ON e.from_ref = b.node AND b.level = a.level - 1 GROUP BY ALL),
+back(step, from_ref, to_ref, edge_type) AS (SELECT level, p[1], node, p[2] FROM pt WHERE node = {FAR} UNION ALL SELECT level, p[1], node, p[2] FROM back JOIN pt ON node = from_ref)
+SELECT step, from_ref, to_ref, edge_type FROM back""".replace("min((e.from_ref, e.edge_type))", "min(row(e.from_ref, e.edge_type))"))
 def find_path(t):
-    return G.find_path(t.graph(sites=False), named(t, "P51"), named(t, "P77")).agg(F.max("step").alias("length"))
+    return G.find_path(t.graph(sites=False), named(t, "P51"), named(t, "P77"))
 
 
-@query(f"""{WITH}, e AS (SELECT DISTINCT from_ref AS near, to_ref AS far FROM edge JOIN sym s ON from_ref = s.qualified_name WHERE edge_type = 'calls' AND s.k % 4 < 2),
-p(head, last, path, n) AS (SELECT near, far, [near], 1 FROM e WHERE far >= near UNION ALL SELECT head, far, list_append(path, last), n + 1 FROM p JOIN e ON near = last WHERE n < 4 AND last <> head AND far >= head AND NOT list_contains(path, last) AND (far = head OR (NOT list_contains(path, far) AND far <> last)))
-SELECT array_to_string(path, ' ') AS cycle, n AS length FROM p WHERE last = head""")
+@query(f"""{WITH}, e AS MATERIALIZED (SELECT DISTINCT from_ref AS near, to_ref AS far FROM edge WHERE edge_type = 'calls'),
+p(head, last, path, n) AS (SELECT near, far, [near], 1 FROM e WHERE far >= near UNION ALL SELECT head, far, list_append(path, last), n + 1 FROM p JOIN e ON near = last WHERE n < 7 AND last <> head AND far >= head AND NOT list_contains(path, last) AND (far = head OR (NOT list_contains(path, far) AND far <> last)))
+SELECT array_to_string(path, ' ') AS cycle, n AS length, true AS truncated FROM p WHERE last = head ORDER BY n, path LIMIT 1000""")
 def cycles(t):
-    some = t.symbols.where("pos_line % 4 < 2").select(F.col("qualified_name").alias("from_ref"))
-    edges = t.bare_edges.where("edge_type = 'calls'").join(some, "from_ref", "left_semi")
-    found = G.cycles(Graph(edges=edges), "calls", max_length=4, limit=1_000_000)
-    return found.select(F.array_join("cycle", " ").alias("cycle"), "length")
+    """The thousand shortest; both sides pass that number at a length of 7, however large the tables."""
+    return G.cycles(t.graph(sites=False), "calls").select(F.array_join("cycle", " ").alias("cycle"), "length", "truncated")
 
 
 TARGET = "(SELECT min(to_ref) FROM edge WHERE edge_type = 'imports' AND to_ref IN (SELECT path FROM pkg))"
@@ -447,12 +446,11 @@ def dependency_flow(t):
     return G.dependency_flow(t.graph(), t.sql(A.PACKAGES).where(~F.col("is_test")).agg(F.min("path")).first()[0])
 
 
-@query(f"""{WITH}, imp AS (SELECT DISTINCT from_ref AS near, to_ref AS far FROM site WHERE edge_type = 'imports' AND NOT suffix(file, '_test.go') AND from_ref > to_ref AND from_ref IN (SELECT path FROM pkg WHERE NOT is_test) AND to_ref IN (SELECT path FROM pkg WHERE NOT is_test) AND hash(1) IS NOT NULL AND length(from_ref) <> length(to_ref)),
-lv(node, level) AS (SELECT path, 0 FROM pkg WHERE NOT is_test UNION SELECT near, level + 1 FROM lv JOIN imp ON far = node) SELECT node AS path, max(level) AS level FROM lv GROUP BY node""")
+@query(f"""{WITH}, {IMPORTS}, tr(near, far) AS (SELECT near, far FROM imp UNION SELECT tr.near, imp.far FROM tr JOIN imp ON tr.far = imp.near), ring AS MATERIALIZED (SELECT near AS node FROM tr WHERE near = far),
+high AS MATERIALIZED (SELECT node FROM ring UNION SELECT near FROM tr WHERE far IN (SELECT node FROM ring)),
+lv(node, level) AS (SELECT path, 0 FROM pkg WHERE NOT is_test UNION SELECT near, level + 1 FROM lv JOIN imp ON far = node WHERE near NOT IN (SELECT node FROM high)) SELECT node AS path, max(level) AS level FROM lv GROUP BY node""")
 def dependency_layers(t):
-    """Imports that go down in name and change in length make an acyclic graph."""
-    edges = t.edges.where("edge_type <> 'imports' or (from_ref > to_ref and length(from_ref) <> length(to_ref))")
-    return G.dependency_layers(Graph(packages=t.sql(A.PACKAGES), edges=edges))
+    return G.dependency_layers(t.graph())
 
 
 @query(f"""{WITH}, {IMPORTS}, i AS (SELECT far AS path, count(*) AS fan_in FROM imp GROUP BY far), o AS (SELECT near, count(*) AS fan_out FROM imp GROUP BY near)
@@ -496,17 +494,21 @@ RANKS = """n AS (SELECT DISTINCT qualified_name AS node FROM sym WHERE NOT is_te
 o AS (SELECT near, count(*) AS k FROM e GROUP BY near), c AS (SELECT count(*) AS c FROM n), r0 AS (SELECT node, 1.0::DOUBLE / c AS s FROM n, c)"""
 
 
-def pagerank_sql(rounds: int) -> str:
+def importance_sql(rounds: int = 100, every: int = 5) -> str:
+    """All rounds written out; the first whose scores hardly change, looked at every few rounds, is the result."""
     steps = []
     for k in range(1, rounds + 1):
         steps.append(f"""r{k} AS MATERIALIZED (SELECT node, 0.15 / c + 0.85 * (SELECT coalesce(sum(s), 0) FROM r{k - 1} WHERE node NOT IN (SELECT near FROM o)) / c + 0.85 * coalesce(g, 0) AS s FROM n LEFT JOIN (SELECT far, sum(s / k) AS g FROM e JOIN r{k - 1} ON near = node JOIN o USING (near) GROUP BY far) ON far = node, c)""")
-    return f"{WITH}, {RANKS}, {', '.join(steps)} SELECT node AS qualified_name, round(s, 9) AS score FROM r{rounds}"
+    looked = range(every, rounds + 1, every)
+    steps.append("d AS (" + " UNION ALL ".join(f"SELECT {k} AS k, max(abs(a.s - b.s)) AS d FROM r{k} a JOIN r{k - 1} b USING (node)" for k in looked) + ")")
+    steps.append(f"done AS (SELECT coalesce(min(k) FILTER (d < 1e-6), {rounds}) AS k FROM d)")
+    steps.append("f AS (" + " UNION ALL ".join(f"SELECT node, s, {k} AS k FROM r{k}" for k in looked) + ")")
+    return f"{WITH}, {RANKS}, {', '.join(steps)} SELECT node AS qualified_name, round(s, 9) AS score, CAST(row_number() OVER (ORDER BY s DESC, node) AS INT) AS rank FROM f SEMI JOIN done USING (k) ORDER BY rank LIMIT 20"
 
 
-@query(pagerank_sql(8))
+@query(importance_sql())
 def importance(t):
-    """Eight rounds, so that both sides stop alike."""
-    return R.importance(t.graph(sites=False), top=None, rounds=8, tolerance=None).select("qualified_name", F.round("score", 9).alias("score"))
+    return R.importance(t.graph(sites=False)).withColumn("score", F.round("score", 9))
 
 
 @query(f"""{WITH}, c AS ({A.CHURN}) SELECT qualified_name, complexity, churn_count, round(complexity * ln(churn_count + 1), 6) AS risk, CAST(row_number() OVER (ORDER BY complexity * ln(churn_count + 1) DESC, qualified_name) AS INT) AS rank
@@ -545,12 +547,12 @@ def search_fts(t):
     return T.search_fts(Graph(files=t.sql(A.FILES)), "thing").drop("rank")
 
 
-@query(f"""WITH a AS (SELECT path, 1 AS line, row_number() OVER (ORDER BY length(content) DESC, path) AS rank FROM {FILE} ORDER BY rank LIMIT 60), b AS (SELECT path, 1 AS line, row_number() OVER (ORDER BY path) AS rank FROM {FILE} WHERE length(content) > 3000 ORDER BY rank LIMIT 80),
+@query(f"""WITH a AS (SELECT path, 1 AS line, row_number() OVER (ORDER BY length(content) DESC NULLS LAST, path) AS rank FROM {FILE}), b AS (SELECT path, 1 AS line, row_number() OVER (ORDER BY path) AS rank FROM {FILE}),
 u AS (SELECT *, 'a' AS source FROM a UNION ALL SELECT *, 'b' FROM b) SELECT path, line, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM u GROUP BY path, line""")
 def fuse_ranks(t):
     files = t.sql(A.FILES).select("path", F.lit(1).alias("line"), F.lit("").alias("text"), F.length("content").alias("n"))
-    a = L.ranked(files.orderBy(F.col("n").desc(), "path").limit(60), F.col("n").desc(), F.col("path"))
-    b = L.ranked(files.where("n > 3000").orderBy("path").limit(80), F.col("path"))
+    a = L.ranked_wide(files, -F.coalesce("n", F.lit(-1)), F.col("path"))
+    b = L.ranked_wide(files, F.col("path"))
     return T.fuse(("a", a), ("b", b)).select("path", "line", F.round("score", 9).alias("score"), "sources")
 
 
@@ -642,10 +644,10 @@ def read_contracts(t):
     return C.read_contracts(t.sql(A.CONTRACTS), t.sql(A.SUPPRESSIONS), direction="consumer", least=0.5).select("from_ref", "to_ref", "direction", "confidence", "severity")
 
 
-@query("""WITH u AS (SELECT 'c' || conv_id AS ref, 'f' AS file, CAST(turn AS INT) AS line, role AS enclosing, substr(text, 1, 400) AS text FROM conversations), r AS (SELECT ref, line, CASE WHEN regexp_matches(lower(enclosing || ' ' || text), 'encode|send|publish|write|marshal|put') THEN 'producer' WHEN regexp_matches(lower(enclosing || ' ' || text), 'decode|receive|subscribe|read|unmarshal|get') THEN 'consumer' ELSE '' END AS role FROM u)
+@query("""WITH u AS (SELECT 'c' || conv_id AS ref, 'f' AS file, CAST(turn AS INT) AS line, role AS enclosing, text FROM conversations), r AS (SELECT ref, line, CASE WHEN regexp_matches(lower(enclosing || ' ' || text), 'encode|send|publish|write|marshal|put') THEN 'producer' WHEN regexp_matches(lower(enclosing || ' ' || text), 'decode|receive|subscribe|read|unmarshal|get') THEN 'consumer' ELSE '' END AS role FROM u)
 SELECT ref, arg_max(role, line) AS role FROM r GROUP BY ref""")
 def site_roles(t):
-    uses = t.table("conversations").select(F.concat(F.lit("c"), "conv_id").alias("ref"), F.lit("f").alias("file"), F.col("turn").cast("int").alias("line"), F.col("role").alias("enclosing"), F.substring("text", 1, 400).alias("text"))
+    uses = t.table("conversations").select(F.concat(F.lit("c"), "conv_id").alias("ref"), F.lit("f").alias("file"), F.col("turn").cast("int").alias("line"), F.col("role").alias("enclosing"), "text")
     return C.site_roles(uses)
 
 
@@ -682,18 +684,22 @@ def source_fingerprint(t):
     return D.fingerprint(t.sql(A.FILES))
 
 
-@query("""SELECT 'r' || conv_id % 7 AS response_id, count(*) AS sections, sum(strlen(text)) AS bytes, min(turn) AS first FROM conversations GROUP BY ALL""")
+def chunks(t: A.Tables, response: Column) -> DataFrame:
+    """Conversations as stored responses: a turn is a section."""
+    return t.table("conversations").select(response.alias("response_id"), F.col("role").alias("tool"), F.octet_length("text").alias("byte_count"), F.timestamp_seconds(F.col("conv_id")).alias("created_at"))
+
+
+@query("""SELECT 'r' || conv_id % 7 AS response_id, role AS tool, count(*) AS sections, sum(strlen(text)) AS bytes, min(conv_id) AS created FROM conversations GROUP BY conv_id % 7, role""")
 def response_manifest(t):
-    rows = t.table("conversations").select(F.concat(F.lit("r"), F.col("conv_id") % 7).alias("response_id"), "turn", "text")
-    return rows.groupBy("response_id").agg(F.count("*").alias("sections"), F.sum(F.octet_length("text")).alias("bytes"), F.min("turn").alias("first"))
+    rows = RD.manifest(chunks(t, F.concat(F.lit("r"), F.col("conv_id") % 7)))
+    return rows.select("response_id", "tool", "sections", "bytes", F.unix_timestamp("created_at").alias("created"))
 
 
-@query("""WITH r AS (SELECT conv_id AS response_id, sum(strlen(text)) AS bytes FROM conversations GROUP BY ALL), c AS (SELECT *, sum(bytes) OVER (ORDER BY response_id DESC ROWS UNBOUNDED PRECEDING) AS upto FROM r) SELECT response_id, bytes FROM c WHERE upto <= 60000""")
+@query("""WITH r AS (SELECT conv_id AS response_id, sum(strlen(text)) AS bytes FROM conversations GROUP BY ALL), c AS (SELECT *, sum(bytes) OVER (ORDER BY response_id DESC ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY response_id DESC) AS k FROM r) SELECT response_id, bytes FROM c WHERE upto <= 60000 OR k = 1""")
 def response_cap(t):
-    """Newest responses that fit the store's cap together."""
-    sizes = t.table("conversations").groupBy(F.col("conv_id").alias("response_id")).agg(F.sum(F.octet_length("text")).alias("bytes"))
-    upto = F.sum("bytes").over(Window.orderBy(F.col("response_id").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.withColumn("upto", upto).where("upto <= 60000").drop("upto")
+    """Newest responses that fit the store's cap together; the newest always stays."""
+    kept = RD.kept_responses(chunks(t, F.col("conv_id")), 60000)
+    return kept.groupBy("response_id").agg(F.sum("byte_count").alias("bytes"))
 
 
 @query(f"""WITH f AS (SELECT repo, sha256(string_agg(path || chr(0) || sha256(coalesce(content, '')), chr(10) ORDER BY path)) AS now FROM {FILE} GROUP BY repo), g AS (SELECT repo, sha256(string_agg(path || chr(0) || sha256(CASE WHEN repo < 'src2' THEN upper(coalesce(content, '')) ELSE coalesce(content, '') END), chr(10) ORDER BY path)) AS was FROM {FILE} WHERE repo <> 'src5' GROUP BY repo UNION ALL SELECT 'gone', 'x')
