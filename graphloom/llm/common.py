@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 #: Ids of at most this many rows (8 bytes each) are broadcast; above it rows are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, both of which hold a few at a time.
+ARROW_BYTES = 4 << 20
+
 #: ASCII white space, as the contracts count it.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -21,14 +25,22 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
 def settle(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: spark.checkpoint.dir, or a local folder where none is set (tests)."""
+    """The shared folder for checkpoints: spark.checkpoint.dir, or where none is set, as in tests, a local folder on a
+    local master; elsewhere executors would lose files there without a word, so it is an error.
+
+    Also bounds the bytes of an Arrow batch, unless the session has its own bound."""
     context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     have = context.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-    shared = context.getConf().get("spark.checkpoint.dir")
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) == f"{64 << 20}b":
+        spark.conf.set(bound, str(ARROW_BYTES))
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not shared:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared)
@@ -69,10 +81,22 @@ def binary(column: pa.Array) -> list:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what a step holds is bounded whatever the texts' lengths."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    """The same rows in smaller batches, so that what a step holds is bounded whatever the texts' lengths. At the end of
+    the task the worker gives back what it no longer uses; it may live on for many tasks."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Hand free memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def without(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:

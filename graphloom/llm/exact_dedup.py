@@ -2,9 +2,10 @@
 
 Every map task first folds the copies it meets itself, so that a group with a third of all rows reaches its owner as
 one row per task and flush, not one per copy. An owner inserts whole byte strings into a compressed radix trie; a
-terminal node holds the preferred identifier and the count. When a trie holds more than `budget` bytes its heaviest
-subtree is spilled: its strings, and all later ones under its prefix, go to the next round, where they are dealt out
-anew by a finer hash. Rounds end when nothing was spilled.
+terminal node holds the preferred identifier and the count. When a trie holds more than `budget` bytes, nodes included,
+its heaviest subtree is spilled: its strings, and all later ones under its prefix, go to the next round, where they are
+dealt out anew by another part of their hash, to tries of twice the budget. Rounds end when nothing was spilled. A single
+text takes about four times its length in a worker.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import binary, cut, lower_ascii, one_of_each, pieces
 
-#: Bytes of text that a map task folds before it passes them on, and that a trie may hold.
-FOLD_BYTES, TRIE_BYTES = 32 << 20, 96 << 20
+#: Bytes that a map task folds before it passes them on, and that a trie may hold, with what objects take besides text.
+FOLD_BYTES, TRIE_BYTES = 16 << 20, 64 << 20
+ROW, NODE = 300, 500
 #: Number of parts a digest's rows are dealt into for the join that tells every row its group.
 SALTS = 16
 
@@ -29,7 +31,8 @@ ENTRY = pa.schema([("digest", pa.binary()), ("text", pa.binary()), ("round", pa.
 
 
 class Trie:
-    """A compressed radix trie over byte strings. A node is [label, children by first byte, best, count, bytes below]."""
+    """A compressed radix trie over byte strings. A node is [label, children by first byte, best, count, bytes]: the bytes
+    are those of all labels in its subtree, its own too, and NODE for each node there."""
 
     def __init__(self, largest: bool) -> None:
         self.pick = max if largest else min
@@ -50,7 +53,7 @@ class Trie:
                 child = [text[at:], {}, None, 0, 0]
                 node[1][text[at]] = child
                 path.append(child)
-                self.grow(path, len(child[0]))
+                self.grow(path, len(child[0]) + NODE)
                 node = child
                 break
             label = child[0]
@@ -61,6 +64,7 @@ class Trie:
             upper = [label[:k], {label[k]: child}, None, 0, child[4]]
             child[0], child[4] = label[k:], child[4] - k
             node[1][text[at]] = upper
+            self.grow([*path, upper], NODE)
             node, at = upper, at + k
         node[2], node[3] = self.better(node[2], best) if node[3] else best, node[3] + n
 
@@ -141,7 +145,7 @@ def folded(largest: bool, fold: int):
                 had = seen.get(text)
                 if had is None:
                     seen[text] = (doc_id, 1)
-                    held += len(text) + 200
+                    held += len(text) + ROW
                 else:
                     ids = [x for x in (had[0], doc_id) if x is not None]
                     seen[text] = (pick(ids) if ids else None, had[1] + 1)
@@ -161,16 +165,18 @@ def owner(largest: bool, budget: int):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found[at : at + 256], strict=True), ENTRY, strict=True)], schema=ENTRY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, gone, turn = Trie(largest), [], 0
+        # Prefixes of what was spilled, by length.
+        trie, gone, turn = Trie(largest), {}, 0
         for batch in pieces(batches, 256):
             late = []
             for text, turn, best, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-                if gone and any(text.startswith(p) for p in gone):
+                if any(text[:k] in prefixes for k, prefixes in gone.items()):
                     late.append((hashlib.sha256(text).digest(), text, turn + 1, best, n))
                 else:
                     trie.insert(text, best, n)
             while trie.held > budget and len(trie.root[1]):
-                gone.append(prefix := trie.heaviest())
+                prefix = trie.heaviest()
+                gone.setdefault(len(prefix), set()).add(prefix)
                 late += [(hashlib.sha256(t).digest(), t, turn + 1, b, n) for t, b, n in trie.remove(prefix)]
             yield from rows(late)
         final = []
