@@ -4,7 +4,7 @@
     python -m graphloom workspace CONFIG STORE
     python -m graphloom query STORE TOOL [name=value ...] [--format table|json|compact]
     python -m graphloom tools
-    python -m graphloom serve STORE
+    python -m graphloom serve STORE [name=ROOT ...] [--allow-write]
 """
 
 from __future__ import annotations
@@ -49,8 +49,10 @@ def main(args: list[str]) -> int:
         spark, config = session(), load(args[1])
         print(Store(spark, args[2]).write(index_workspace(spark, config.members)))
         return 0
-    if args[:1] == ["serve"] and len(args) == 2:
-        server.serve(Store(session(), args[1]).read(), sys.stdin, sys.stdout)
+    if args[:1] == ["serve"] and len(args) >= 2:
+        store = Store(session(), args[1])
+        roots = dict(x.split("=", 1) for x in args[2:] if "=" in x)
+        server.serve(store.read(), sys.stdin, sys.stdout, roots=roots, store=store, allow_write="--allow-write" in args)
         return 0
     if args[:1] == ["query"] and len(args) >= 3:
         form, rest = "table", args[3:]

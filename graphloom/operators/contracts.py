@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import short_name
+from graphloom.model import Graph
+from graphloom.operators.lookup import enclosing
 
 CONSTANT, SHAPE, THRESHOLD = 0.6, 0.4, 0.5
 #: Parts of names that tell which side of a message a symbol is on.
@@ -97,6 +99,20 @@ def name_direction(a: Column, b: Column) -> Column:
     return F.when(has(a, PRODUCER) & has(b, CONSUMER), "producer").when(has(a, CONSUMER) & has(b, PRODUCER), "consumer").otherwise("shared")
 
 
+def constant_uses(g: Graph) -> DataFrame:
+    """ref, file, line, enclosing, text: the lines of a constant's package that hold its short name, and what they are in.
+
+    Files belong to the package of the symbols declared in them. Lines meet the names of their own package only.
+    """
+    names = constants_of(g.symbols).select("package_path", "ref", "name").distinct()
+    homes = g.symbols.select(F.col("pos_file").alias("file"), "package_path").where("file <> ''").groupBy("file").agg(F.min("package_path").alias("package_path"))
+    homes = homes.join(names.select("package_path").distinct(), "package_path", "left_semi")
+    files = g.files.select(F.col("path").alias("file"), "content").join(homes, "file")
+    lines = files.select("file", "package_path", F.posexplode(F.split("content", "\n")).alias("k", "text")).withColumn("line", F.col("k") + 1)
+    rows = lines.join(names, "package_path").where(F.contains("text", F.col("name")))
+    return rows.join(enclosing(rows, g.symbols), ["file", "line"]).select("ref", "file", "line", "enclosing", "text")
+
+
 def site_roles(uses: DataFrame) -> DataFrame:
     """ref, role: the role of a constant's last use. uses: ref, file, line, enclosing, text.
 
@@ -162,6 +178,13 @@ def shape_drift(constants: DataFrame, shapes: DataFrame) -> DataFrame:
     return plain.unionAll(renamed)
 
 
+def all_drift(constants: DataFrame, shapes: DataFrame) -> DataFrame:
+    """from_ref, to_ref, severity, field, type_a, type_b, status: drifted constants (no field), and fields of types."""
+    names = constant_drift(constants).select("from_ref", "to_ref", "severity", F.lit("").alias("field"), "type_a", "type_b", "status")
+    fields = shape_drift(constants, shapes)
+    return names.unionAll(fields.select(F.col("type_a").alias("from_ref"), F.col("type_b").alias("to_ref"), "severity", F.col("wire_name").alias("field"), F.col("from_type").alias("type_a"), F.col("to_type").alias("type_b"), "status"))
+
+
 def unsuppressed(rows: DataFrame, suppressions: DataFrame) -> DataFrame:
     """rows (from_ref, to_ref) without the suppressed pairs, in either direction."""
     pairs = suppressions.select("from_ref", "to_ref")

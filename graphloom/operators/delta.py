@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.model import Graph
+from graphloom.plans.materialize import cut
+
 
 def masked(text, name):
     """A declaration's text with its own name replaced by a placeholder, so that renames compare equal."""
@@ -30,6 +33,37 @@ def changed_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
     return modified.unionAll(moved)
 
 
+def working_changes(g: Graph, root: str, ref: str | None = None, repo: str | None = None, bodies: bool = False, tests: bool = False) -> DataFrame:
+    """section (symbol, renamed_file, diagnostic), name, change, was, kind, file, line, detail, direct_callers: the working
+    tree against a ref (without one, the default branch). repo is the module's name in the index, found by its folder.
+
+    A symbol's row says where it is now, or was if it is gone; detail is its body on request, a diagnostic's message. Its
+    callers are counted in the index under the name that they know, a renamed one's old name.
+    """
+    from graphloom.sources import vcs
+
+    ref = ref or vcs.default_ref(root)
+    if repo is None:
+        known = [] if g.repos is None else g.repos.where(F.rtrim("dir", F.lit("/")) == root.rstrip("/")).select("module_path").head(1)
+        repo = known[0][0] if known else ""
+    old, new = (cut(vcs.declarations_at(g.spark, root, at, repo)) for at in (ref, None))
+    if not tests:
+        old, new = (x.where(~F.col("is_test")) for x in (old, new))
+    shape = lambda x: x.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("shape")), "\n").alias("shape"))
+    changes = changed_symbols(shape(old), shape(new))
+    place = lambda x, mark: x.groupBy(F.col("name").alias("_n")).agg(F.min(F.struct("file", "line", "kind", "body")).alias(mark))
+    rows = changes.join(place(new, "_new"), F.col("name") == F.col("_n"), "left").drop("_n").join(place(old, "_old"), F.col("name") == F.col("_n"), "left").drop("_n")
+    uses = g.edges.where(F.col("edge_type").isin("calls", "references")).groupBy(F.col("to_ref").alias("_ref")).agg(F.count("*").alias("direct_callers"))
+    rows = rows.withColumn("_at", F.coalesce("_new", "_old")).join(uses, F.coalesce("was", "name") == F.col("_ref"), "left")
+    none = F.lit(None).cast("string")
+    found = rows.select(F.lit("symbol").alias("section"), "name", "change", "was", "_at.kind", "_at.file", "_at.line", (F.col("_at.body") if bodies else none).alias("detail"), F.coalesce("direct_callers", F.lit(0)).cast("long").alias("direct_callers"))
+    moved = vcs.statuses(g.spark, root, ref).where("status in ('R', 'C')")
+    found = found.unionByName(moved.select(F.lit("renamed_file").alias("section"), F.col("path").alias("name"), F.lit("renamed").alias("change"), "was", none.alias("kind"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), none.alias("detail"), F.lit(None).cast("long").alias("direct_callers")))
+    if g.diagnostics is None:
+        return found
+    return found.unionByName(g.diagnostics.select(F.lit("diagnostic").alias("section"), "file", "line", F.col("message").alias("detail")), allowMissingColumns=True)
+
+
 def change_counts(changes: DataFrame) -> DataFrame:
     """One row: added, modified, removed, renamed."""
     return changes.agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "modified", "removed", "renamed")))

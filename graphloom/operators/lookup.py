@@ -6,6 +6,8 @@ that it survives shuffles. Names that aren't indexed raise NotFound with candida
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -399,6 +401,29 @@ def summary_packages(g: Graph, repo: str | None = None) -> DataFrame:
     return ranked_wide(rows, -F.col("sym_count"), F.col("path")).select("path", "sym_count", "doc", "rank")
 
 
+def summary(g: Graph, repo: str | None = None) -> DataFrame:
+    """section, name, detail, n, rank: the whole summary as one answer. Packages (with symbol counts), main entry points
+    (12), dependencies (third_party and stdlib, with importers), hubs (with fan-in), totals, and the description of each
+    repository whose folder the driver can read: the first paragraph of its README."""
+    from graphloom.operators.graph import entry_points, hubs
+
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    part = lambda rows, section, name, detail, n, rank: rows.select(section.alias("section"), name.alias("name"), detail.cast("string").alias("detail"), n.cast("long").alias("n"), rank.cast("int").alias("rank"))
+    c = F.col
+    out = part(summary_packages(g, repo), F.lit("package"), c("path"), c("doc"), c("sym_count"), c("rank"))
+    mains = entry_points(g, ("main",))
+    out = out.unionAll(part(ranked(mains.orderBy("qualified_name").limit(12), c("qualified_name")), F.lit("entry_point"), c("qualified_name"), none, zero, c("rank")))
+    out = out.unionAll(part(dependencies(g), F.when(c("third_party"), "third_party").otherwise("stdlib"), c("path"), none, c("importers"), c("rank")))
+    out = out.unionAll(part(hubs(g), F.lit("hub"), c("path"), none, c("fan_in"), c("rank")))
+    out = out.unionAll(part(totals(g), F.lit("total"), c("relation"), none, c("n"), F.lit(1)))
+    told = []
+    for r in g.repos.select("module_path", "dir").collect():
+        if repo in (None, r["module_path"]) and os.path.isfile(path := os.path.join(r["dir"] or "", "README.md")):
+            with open(path, errors="replace") as f:
+                told.append((r["module_path"], first_paragraph(f.read())))
+    return out.unionAll(part(g.spark.createDataFrame(told, "name string, text string"), F.lit("description"), c("name"), c("text"), zero, F.lit(1)))
+
+
 def first_paragraph(markdown: str) -> str:
     """The first prose paragraph of a README: no heading, badge, rule, list, table, quote, fence or markup."""
     fenced, lines = False, []

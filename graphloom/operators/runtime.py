@@ -21,8 +21,8 @@ from graphloom.plans.materialize import shipped
 from graphloom.sources.golang.syntax import Lines, Node, SyntaxProblem, parse
 
 #: Rules (regular expression, replacement) of the built-in normalisers, in order.
-REDIS_RULES = ((r"\d{4}-\d{2}-\d{2}", "{date}"), (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "{ip}"), (r"[0-9a-fA-F-]{36}", "{id}"), (r":<[^>]+>", ":{name}"), (r":%[sdv]", ":{name}"))
-SUBJECT_RULES = ((r"[0-9a-fA-F-]{36}", ":request_id"), (r"\{[^}]*id\}", ":id"), (r"%[sdv]", ":request_id"))
+REDIS_RULES = ((r"\d{4}-\d{2}-\d{2}", "{date}"), (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "{ip}"), (r"[a-f0-9-]{36}", "{id}"), (r"<[^>]+>", ":{name}"), (r"%[sdv]", ":{name}"))
+SUBJECT_RULES = ((r"<[^>]+>", ":request_id"), (r"[a-f0-9-]{36}", ":id"), (r"%[sdv]", ":request_id"))
 NORMALIZERS = {"raw": (), "redis": REDIS_RULES, "subject": SUBJECT_RULES}
 #: Fields that tell a message's type.
 SUBJECTS = ("For", "MsgType", "Msgtype")

@@ -727,11 +727,13 @@ def diff_hunks(t):
     return rows.select("path", "side", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
-@query("""SELECT event_id, 'job:{date}:{ip}:{name}:' || event_type AS pattern FROM events""")
+@query("""SELECT event_id, 'job:{date}:{ip}::{name}:' || event_type || ':{id}' AS pattern, 'in.:request_id.' || event_type || '.:id.:request_id' AS subject FROM events""")
 def normalize_keys(t):
     ip = F.concat_ws(".", *(F.col("user_id") % m for m in (200, 100, 50, 7)))
-    key = F.concat(F.lit('"job:'), F.date_format("ts", "yyyy-MM-dd"), F.lit(":"), ip, F.lit(":%s:"), "event_type", F.lit('"'))
-    return t.table("events").select("event_id", RT.normalized(key, RT.REDIS_RULES).alias("pattern"))
+    ident = F.regexp_replace(F.md5(F.col("event_id").cast("string")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    key = F.concat(F.lit('"job:'), F.date_format("ts", "yyyy-MM-dd"), F.lit(":"), ip, F.lit(":%s:"), "event_type", F.lit(":"), ident, F.lit('"'))
+    subject = F.concat(F.lit("`in.<user>."), "event_type", F.lit("."), ident, F.lit(".%v`"))
+    return t.table("events").select("event_id", RT.normalized(key, RT.REDIS_RULES).alias("pattern"), RT.normalized(subject, RT.SUBJECT_RULES).alias("subject"))
 
 
 @query(f"""WITH {CONST}, d AS (SELECT a.ref AS from_ref, b.ref AS to_ref, a.value AS type_a, b.value AS type_b FROM cst a JOIN cst b ON a.name = b.name WHERE {PAIR} AND a.value <> b.value)

@@ -6,17 +6,25 @@ Long answers are cut into sections that `read_response_section` gives out; `stat
 from __future__ import annotations
 
 import json
+import os
 from typing import TextIO
 
 from graphloom import render, surface
 from graphloom.model import Graph
+from graphloom.operators import delta
+from graphloom.sources.go_source import index, workspace_files
+from graphloom.sources.sinks import Store, suppress
 
 READ = {"response_id": surface.text(True), "section": surface.Arg(int, low=0, high=1_000_000), "query": surface.text(), "limit": surface.number(10, 1, 100)}
 
 
 class Server:
-    def __init__(self, graph: Graph, gate: int = render.GATE, stored: int = render.STORED) -> None:
+    """roots: module name (empty: from go.mod) to folder, what reindex reads and write tools may touch; store: where the
+    graph is kept; allow_write: whether sources may be changed."""
+
+    def __init__(self, graph: Graph, gate: int = render.GATE, stored: int = render.STORED, roots: dict[str, str] | None = None, store: Store | None = None, allow_write: bool = False) -> None:
         self.graph, self.gate, self.stored = graph, gate, stored
+        self.roots, self.store, self.allow_write = roots or {}, store, allow_write
         self.responses: dict[str, list[render.Section]] = {}
         self.usage: dict[str, list[int]] = {}
 
@@ -49,8 +57,9 @@ class Server:
     def tools(self, _: dict) -> dict:
         kinds = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}
         out = []
-        for tool in [*surface.TOOLS, "read_response_section", "stats"]:
-            spec = surface.TOOLS[tool][0] if tool in surface.TOOLS else READ if tool != "stats" else {}
+        own = {"read_response_section": READ, "stats": {}, "schema": {"tool": surface.text(True)}}
+        for tool in [*surface.TOOLS, *surface.STATEFUL, *(surface.WRITES if self.allow_write else ()), *own]:
+            spec = own[tool] if tool in own else surface.spec(tool)
             one = {n: {"type": kinds[a.kind.__name__]} | ({"enum": list(a.values)} if a.values else {}) | ({"minimum": a.low, "maximum": a.high} if a.low is not None else {}) for n, a in spec.items()}
             properties = {n: {"type": "array", "items": one[n]} if a.many else one[n] for n, a in spec.items()}
             out.append({"name": tool, "inputSchema": {"type": "object", "properties": properties, "required": [n for n, a in spec.items() if a.required]}})
@@ -62,17 +71,58 @@ class Server:
             return said(self.section(given))
         if tool == "stats":
             return said(render.table("tools", [{"tool": t, "calls": n, "errors": e, "bytes": b} for t, (n, e, b) in sorted(self.usage.items())]))
+        if tool == "schema":
+            return said(json.dumps(surface.schema(given.get("tool") or "")))
         form = given.pop("format", "table")
         count = self.usage.setdefault(tool, [0, 0, 0])
         count[0] += 1
         try:
-            text = render.render(tool, surface.call(self.graph, tool, **given), form)
+            text = self.changed(tool, given) if tool in surface.STATEFUL or tool in surface.WRITES else render.render(tool, surface.call(self.graph, tool, **given), form)
         except Exception:
             count[1] += 1
             raise
         count[2] += len(text.encode())
         return said(self.gated(tool, text))
 
+    def changed(self, tool: str, given: dict) -> str:
+        """What a tool that changes the index or the sources did."""
+        a = surface.arguments(tool, given)
+        if tool == "suppress_contract":
+            self.graph.suppressions = suppress(self.graph.suppressions, a["from_ref"], a["to_ref"])
+            if self.store is not None:
+                self.store.write(self.graph)
+                self.graph = self.store.read()
+            return f"{a['from_ref']} and {a['to_ref']} are left out from now on"
+        if tool == "reindex":
+            return self.reindexed()
+        if not self.allow_write:
+            raise surface.ArgumentError(f"{tool} changes files, and the server was started without leave to write")
+        edit = surface.planned(self.graph, tool, a)
+        roots = [os.path.realpath(r) for r in self.roots.values()]
+        for path in edit.files:
+            if not any(os.path.realpath(path).startswith(r + os.sep) for r in roots):
+                raise surface.ArgumentError(f"{path} is outside of the indexed folders")
+        edit.apply()
+        told = f"{edit.action} {edit.symbol}: " + ("nothing to change" if edit.unchanged else f"{edit.sites} places in {len(edit.files)} files")
+        return told if edit.unchanged else f"{told}\n{self.reindexed()}"
+
+    def reindexed(self) -> str:
+        """The stale ones of the roots indexed again."""
+        if not self.roots:
+            raise surface.ArgumentError("the server knows no folders to index")
+        spark = self.graph.spark
+        files = workspace_files(spark, self.roots)
+        old = delta.fingerprint(self.graph.files)
+        stale = [r["repo"] for r in delta.stale(files, old).collect()]
+        if stale:
+            suppressions = self.graph.suppressions
+            self.graph = index(files)
+            self.graph.suppressions = suppressions
+            if self.store is not None:
+                self.store.write(self.graph)
+                self.graph = self.store.read()
+        return f"indexed again: {', '.join(sorted(stale)) or 'nothing was stale'}"
+
     def gated(self, tool: str, text: str) -> str:
         """The text, or the list of its sections if it is too long; the oldest stored responses make room."""
         if len(text.encode()) <= self.gate:
@@ -106,9 +156,9 @@ def said(text: str) -> dict:
     return {"content": [{"type": "text", "text": text}]}
 
 
-def serve(graph: Graph, lines: TextIO, out: TextIO) -> None:
-    """Answer until the input ends."""
-    server = Server(graph)
+def serve(graph: Graph, lines: TextIO, out: TextIO, **more) -> None:
+    """Answer until the input ends. more: as for Server."""
+    server = Server(graph, **more)
     for line in lines:
         if line.strip() and (answer := server.handle(line)) is not None:
             out.write(json.dumps(answer) + "\n")

@@ -46,12 +46,14 @@ def head(root: str) -> str:
 
 
 def default_ref(root: str) -> str:
-    """The remote's head, else the current branch, else HEAD."""
-    for args in (("symbolic-ref", "--short", "refs/remotes/origin/HEAD"), ("symbolic-ref", "--short", "HEAD")):
+    """The branch that the remote's head names (without the remote), else the current branch, else HEAD."""
+    for args, remote in ((("symbolic-ref", "--short", "refs/remotes/origin/HEAD"), True), (("symbolic-ref", "--short", "HEAD"), False)):
         try:
-            return git(root, *args).strip()
+            name = git(root, *args).strip()
         except GitError:
             continue
+        if name := name.partition("/")[2] if remote and "/" in name else name:
+            return name
     return "HEAD"
 
 
@@ -110,6 +112,12 @@ def diff_lines(spark: SparkSession, root: str, ref: str) -> DataFrame:
 
 def shapes_at(spark: SparkSession, root: str, ref: str | None, repo: str) -> DataFrame:
     """name, shape of the declarations of all .go files at a ref (None: the working tree), for delta.changed_symbols."""
+    found = declarations_at(spark, root, ref, repo)
+    return found.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("shape")), "\n").alias("shape"))
+
+
+def declarations_at(spark: SparkSession, root: str, ref: str | None, repo: str) -> DataFrame:
+    """name, shape (the text with the own name masked), kind, file (relative), line, body, is_test."""
     from graphloom.operators.delta import masked
     from graphloom.sources.go_source import exploded, parsed
 
@@ -126,4 +134,5 @@ def shapes_at(spark: SparkSession, root: str, ref: str | None, repo: str) -> Dat
     symbols = exploded(parsed(rows).where("error is null"), "symbols", "path")
     texts = symbols.join(rows.select(F.col("path").alias("_p"), "content"), F.col("path") == F.col("_p"))
     body = F.array_join(F.slice(F.split("content", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return texts.select(F.col("qualified_name").alias("name"), masked(body, F.col("name")).alias("shape")).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("shape")), "\n").alias("shape"))
+    test = F.endswith("path", F.lit("_test.go"))
+    return texts.select(F.col("qualified_name").alias("name"), masked(body, F.col("name")).alias("shape"), "kind", F.col("path").alias("file"), F.col("pos_line").alias("line"), body.alias("body"), test.alias("is_test"))

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom import edits
 from graphloom.model import EDGE_TYPES, KINDS, Graph
 from graphloom.operators import contracts, delta, fulltext, graph, lookup, pattern, rank, runtime
 
@@ -91,15 +92,26 @@ def hot(g: Graph, a: dict) -> DataFrame:
 
 
 def drift(g: Graph, a: dict) -> DataFrame:
-    rows = contracts.unsuppressed(contracts.constant_drift(contracts.constants_of(g.symbols)), g.suppressions)
+    rows = contracts.unsuppressed(contracts.all_drift(contracts.constants_of(g.symbols), contracts.shapes_of(g.symbols)), g.suppressions)
     return rows.where(F.col("severity") == a["severity"]) if a["severity"] else rows
 
 
 def found_contracts(g: Graph, a: dict) -> DataFrame:
-    rows = contracts.contracts(contracts.constants_of(g.symbols), contracts.shapes_of(g.symbols))
+    roles = contracts.site_roles(contracts.constant_uses(g))
+    rows = contracts.contracts(contracts.constants_of(g.symbols), contracts.shapes_of(g.symbols), roles)
     return contracts.read_contracts(rows, g.suppressions, None, a["direction"], a["severity"], a["min_confidence"])
 
 
+def lines(g: Graph, a: dict) -> DataFrame:
+    """Result lines, then what was corrected or may help: their section tells which."""
+    if a["is_regex"]:
+        return fulltext.search_regex(g, a["pattern"], a["file_pattern"])
+    rows, made, hint = fulltext.search_corrected(g, a["pattern"], a["file_pattern"])
+    notes = [("correction", f"{term} -> {better}") for term, better in sorted(made.items())] + ([("hint", hint)] if hint else [])
+    notes = g.spark.createDataFrame(notes, "section string, text string")
+    return rows.withColumn("section", F.lit("line")).unionByName(notes, allowMissingColumns=True).orderBy(F.col("rank").asc_nulls_last(), "section", "text")
+
+
 def entities(g: Graph, a: dict) -> DataFrame:
     rows = runtime.runtime_contracts(g)
     for key in ("kind", "repo"):
@@ -111,7 +123,7 @@ def entities(g: Graph, a: dict) -> DataFrame:
 TOOLS: dict[str, tuple[dict[str, Arg], Callable[[Graph, dict], DataFrame]]] = {
     "health": ({}, lambda g, a: lookup.repo_states(g)),
     "overview": ({"include_tests": flag(), "repo": text()}, lambda g, a: lookup.overview(g, a["include_tests"], a["repo"])),
-    "summary": ({"repo": text()}, lambda g, a: lookup.summary_packages(g, a["repo"])),
+    "summary": ({"repo": text()}, lambda g, a: lookup.summary(g, a["repo"])),
     "dependencies": ({}, lambda g, a: lookup.dependencies(g)),
     "show": ({"qualified_name": text(True), "source": flag(), "context_lines": number(0, 0, 500), "include_doc": flag()}, lambda g, a: lookup.symbol_body(g, a["qualified_name"], a["context_lines"], a["include_doc"]) if a["source"] else lookup.show(g, a["qualified_name"])),
     "callers_of": ({"qualified_name": text(True), "edge_types": TYPES, "depth": DEPTH, "repo": text()}, lambda g, a: graph.callers_of(g, a["qualified_name"], a["depth"], a["edge_types"], a["repo"])),
@@ -122,7 +134,7 @@ TOOLS: dict[str, tuple[dict[str, Arg], Callable[[Graph, dict], DataFrame]]] = {
     "search": ({"pattern": text(True), "mode": text(False, "substring", "prefix", "method"), "include_tests": flag(), "kind": text(False, *KINDS), "exported": Arg(bool), "file": text(), "generated": text(False, *lookup.GENERATED), "repo": text()}, search),
     "imports_of": ({"package_path": text(True), "direction": text(False, "in", "out"), "transitive": flag()}, imports),
     "all_edges": ({"edge_type": text(False, *EDGE_TYPES)}, lambda g, a: lookup.edge_filter(g.edges, (a["edge_type"],) if a["edge_type"] else ())),
-    "search_text": ({"pattern": text(True), "file_pattern": text(), "is_regex": flag()}, lambda g, a: fulltext.search_regex(g, a["pattern"], a["file_pattern"]) if a["is_regex"] else fulltext.search_corrected(g, a["pattern"], a["file_pattern"])[0]),
+    "search_text": ({"pattern": text(True), "file_pattern": text(), "is_regex": flag()}, lines),
     "pattern": ({"pattern": text(True), "file_pattern": text(), "repo": text()}, lambda g, a: pattern.pattern_search(g, a["pattern"], a["file_pattern"], a["repo"])),
     "get_context_bundle": ({"qualified_name": text(True), "token_budget": number(4000, 1, 1_000_000)}, lambda g, a: graph.context_bundle(g, a["qualified_name"], a["token_budget"])),
     "get_hotspots": ({"mode": text(False, "churn", "pagerank"), "top_n": number(20, 1, 500), "min_complexity": number(1, 0, 1_000_000), "min_churn": number(1, 0, 1_000_000)}, hot),
@@ -142,19 +154,49 @@ TOOLS: dict[str, tuple[dict[str, Arg], Callable[[Graph, dict], DataFrame]]] = {
     "contracts": ({"direction": text(False, *DIRECTIONS), "severity": text(False, *SEVERITIES), "min_confidence": Arg(float, low=0, high=1)}, found_contracts),
     "contract_drift": ({"severity": text(False, *SEVERITIES)}, drift),
     "runtime_contracts": ({"kind": text(), "repo": text()}, entities),
+    "changed_symbols": ({"root": text(True), "ref": text(), "include_bodies": flag(), "include_tests": flag()}, lambda g, a: delta.working_changes(g, a["root"], a["ref"], bodies=a["include_bodies"], tests=a["include_tests"])),
     "fingerprint": ({}, lambda g, a: delta.fingerprint(g.files)),
 }
 
 
+#: What a server with a graph of its own may change: the index, and with leave to write, the sources.
+STATEFUL: dict[str, dict[str, Arg]] = {"reindex": {}, "suppress_contract": {"from_ref": text(True), "to_ref": text(True)}}
+WRITES: dict[str, dict[str, Arg]] = {
+    "replace_symbol_body": {"qualified_name": text(True), "body": text(True), "include_doc": flag()},
+    "insert_before_symbol": {"qualified_name": text(True), "text": text(True)},
+    "insert_after_symbol": {"qualified_name": text(True), "text": text(True)},
+    "safe_delete_symbol": {"qualified_name": text(True), "allow_exported": flag(), "allow_test_only": flag()},
+    "rename_symbol": {"qualified_name": text(True), "new_name": text(True), "force": flag()},
+}
+
+
+def spec(tool: str) -> dict[str, Arg]:
+    if tool in TOOLS:
+        return TOOLS[tool][0]
+    if tool in STATEFUL or tool in WRITES:
+        return (STATEFUL | WRITES)[tool]
+    raise ArgumentError(f"unknown tool {tool}")
+
+
+def planned(g: Graph, tool: str, a: dict) -> edits.Edit:
+    """The edit that a write tool stands for, not yet written."""
+    name = a["qualified_name"]
+    if tool == "replace_symbol_body":
+        return edits.replace_body(g, name, a["body"], a["include_doc"])
+    if tool == "safe_delete_symbol":
+        return edits.delete(g, name, a["allow_exported"], a["allow_test_only"])
+    if tool == "rename_symbol":
+        return edits.rename(g, name, a["new_name"], a["force"])
+    return edits.insert(g, name, a["text"], after=tool == "insert_after_symbol")
+
+
 def arguments(tool: str, given: dict[str, Any]) -> dict[str, Any]:
     """The checked arguments of a tool, defaults filled in; unknown and missing ones are errors."""
-    if tool not in TOOLS:
-        raise ArgumentError(f"unknown tool {tool}")
-    spec = TOOLS[tool][0]
-    if extra := sorted(set(given) - set(spec)):
+    expected = spec(tool)
+    if extra := sorted(set(given) - set(expected)):
         raise ArgumentError(f"{tool} has no argument {', '.join(extra)}")
     out = {}
-    for name, arg in spec.items():
+    for name, arg in expected.items():
         if given.get(name) is None:
             if arg.required:
                 raise ArgumentError(f"{tool} needs {name}")
@@ -172,4 +214,4 @@ def call(g: Graph, tool: str, **given: Any) -> DataFrame:
 
 def schema(tool: str) -> dict[str, dict]:
     """A tool's arguments as plain data, for clients."""
-    return {n: {"type": a.kind.__name__, "required": a.required, "default": a.default, "values": list(a.values), "low": a.low, "high": a.high, "list": a.many} for n, a in TOOLS[tool][0].items()}
+    return {n: {"type": a.kind.__name__, "required": a.required, "default": a.default, "values": list(a.values), "low": a.low, "high": a.high, "list": a.many} for n, a in spec(tool).items()}

@@ -180,8 +180,15 @@ def test_runtime(g):
 
 
 def test_normalizers(spark):
-    df = spark.createDataFrame([('"job:2024-01-02:10.0.0.1:%s:<name>"',)], "v string")
-    assert df.select(R.normalized(df["v"], R.REDIS_RULES)).first()[0] == "job:{date}:{ip}:{name}:{name}"
+    some = "0123abcd-0123-4567-89ab-0123456789ab"
+    cases = [
+        (R.REDIS_RULES, '"job:2024-01-02:10.0.0.1:%s:<name>"', "job:{date}:{ip}::{name}::{name}"),
+        (R.REDIS_RULES, f"`a.<x>.b:{some}:{some.upper()}`", "a.:{name}.b:{id}:" + some.upper()),
+        (R.SUBJECT_RULES, f'"orders.<id>.{some}.%d.{{user_id}}"', "orders.:request_id.:id.:request_id.{user_id}"),
+    ]
+    for rules, text, want in cases:
+        df = spark.createDataFrame([(text,)], "v string")
+        assert df.select(R.normalized(df["v"], rules)).first()[0] == want
 
 
 def test_contracts_from_source(spark, tmp_path):
@@ -196,6 +203,10 @@ def test_contracts_from_source(spark, tmp_path):
     assert [(r["wire_name"], r["status"]) for r in C.shape_drift(constants, shapes).collect()] == [("Name → Title", "renamed")]
     pair = spark.createDataFrame([("ex.com/y.MsgTypeA", "ex.com/x.MsgTypeA")], "from_ref string, to_ref string")
     assert C.unsuppressed(C.contracts(constants, shapes), pair).count() == 0
+    # The constant's own declaration is no use; the call inside of send tells its role.
+    assert [tuple(r) for r in C.constant_uses(g).select("ref", "line", "enclosing").collect() if r["enclosing"] != r["ref"]] == [("ex.com/x.MsgTypeA", 4, "ex.com/x.send")]
+    assert [(r["ref"], r["role"]) for r in C.site_roles(C.constant_uses(g)).collect()] == [("ex.com/x.MsgTypeA", "producer")]
+    assert {(r["field"], r["status"]) for r in surface.call(g, "contract_drift").collect()} == {("Name → Title", "renamed")}
     beside = workspace.siblings(str(tmp_path / "x"))
     assert [os.path.basename(p) for p in beside] == ["x", "y"]
 
@@ -276,6 +287,15 @@ def test_git(spark, tmp_path):
         vcs.show(str(tmp_path), "HEAD", "n.go")
     changes = D.changed_symbols(vcs.shapes_at(spark, str(tmp_path), "HEAD", "w"), vcs.shapes_at(spark, str(tmp_path), None, "w"))
     assert {(r["name"], r["change"], r["was"]) for r in changes.collect()} == {("w.A", "modified", None), ("w.D", "renamed", "w.B"), ("w.C", "removed", None), ("w.E", "added", None)}
+    run("mv", "w.go", "v.go")
+    g = S.index(S.read_files(spark, str(tmp_path), "w"))
+    rows = surface.call(g, "changed_symbols", root=str(tmp_path), include_bodies=True).collect()
+    assert {(r["name"], r["change"], r["file"], r["line"], r["direct_callers"]) for r in rows if r["section"] == "symbol"} == {("w.A", "modified", "v.go", 3, 1), ("w.D", "renamed", "v.go", 5, 0), ("w.C", "removed", "w.go", 7, 0), ("w.E", "added", "v.go", 7, 0)}
+    assert {r["detail"] for r in rows if r["name"] == "w.A"} == {"func A() int { return 2 }"}
+    run("remote", "add", "origin", str(tmp_path))
+    run("update-ref", "refs/remotes/origin/main", "HEAD")
+    run("symbolic-ref", "refs/remotes/origin/HEAD", "refs/remotes/origin/main")
+    assert vcs.default_ref(str(tmp_path)) == "main"
 
 
 def test_workspace(tmp_path):
@@ -300,7 +320,7 @@ def test_surface(g):
     assert surface.call(g, "show", qualified_name="ex.com/m/a.dead", source=True).first()["body"] == "func dead() {}"
     assert surface.call(g, "find_declaration", file_path=g.symbols.where("name = 'use'").first()["pos_file"], line=46).first()["qualified_name"] == "ex.com/m/a.use"
     assert surface.schema("callers_of")["depth"]["high"] == 100
-    given = {"qualified_name": "ex.com/m/a.dead", "path": "ex.com/m/a", "type_name": "ex.com/m/a.Impl", "pattern": "dead", "package_path": "ex.com/m/a", "interface_name": "ex.com/m/a.Runner", "edge_type": "calls", "files": ["a/a.go"], "from": "ex.com/m/a.use", "to": "ex.com/m/a.dead", "file_path": "a.go", "symbol": "dead"}
+    given = {"qualified_name": "ex.com/m/a.dead", "path": "ex.com/m/a", "type_name": "ex.com/m/a.Impl", "pattern": "dead", "package_path": "ex.com/m/a", "interface_name": "ex.com/m/a.Runner", "edge_type": "calls", "files": ["a/a.go"], "from": "ex.com/m/a.use", "to": "ex.com/m/a.dead", "file_path": "a.go", "symbol": "dead", "root": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
     for tool, (spec, _) in surface.TOOLS.items():
         surface.call(g, tool, **{n: given[n] for n, a in spec.items() if a.required or n == "symbol"}).collect()
 
@@ -358,6 +378,52 @@ def test_server(g):
     assert "callers_of,3,2" in call("stats")["result"]["content"][0]["text"]
 
 
+def test_server_changes(spark, tmp_path):
+    """Suppressing, indexing again and the write tools, which need leave and stay inside of the roots."""
+    from graphloom.server import Server
+
+    root = tmp_path / "m"
+    root.mkdir()
+    (root / "go.mod").write_text("module ex.com/w\n")
+    (root / "README.md").write_text("# W\n\nDoes one thing.\n")
+    (root / "w.go").write_text("package main\n\nfunc main() { A() }\n\nfunc A() {}\n\nfunc lone() {}\n")
+    roots = {"": str(root)}
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.write(S.index_workspace(spark, roots))
+
+    def talk(server):
+        def call(name, **arguments):
+            answer = server.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": arguments}}))
+            return answer["error"]["message"] if "error" in answer else answer["result"]["content"][0]["text"]
+
+        return call
+
+    closed = talk(Server(store.read(), roots=roots, store=store))
+    assert "leave to write" in closed("safe_delete_symbol", qualified_name="ex.com/w.lone") and "lone" in (root / "w.go").read_text()
+    assert "nothing was stale" in closed("reindex")
+    assert "left out" in closed("suppress_contract", from_ref="a.B", to_ref="c.D") and store.read().suppressions.count() == 1
+    server = Server(store.read(), roots=roots, store=store, allow_write=True)
+    call = talk(server)
+    assert "rename_symbol" in {t["name"] for t in server.tools({})["tools"]} and "depth" in call("schema", tool="callers_of")
+    assert "2 places" in call("rename_symbol", qualified_name="ex.com/w.A", new_name="B") and "main() { B() }" in (root / "w.go").read_text()
+    call("safe_delete_symbol", qualified_name="ex.com/w.lone")
+    call("insert_after_symbol", qualified_name="ex.com/w.B", text="func C() {}")
+    call("insert_before_symbol", qualified_name="ex.com/w.C", text="func D() {}")
+    call("replace_symbol_body", qualified_name="ex.com/w.B", body="func B() { C() }")
+    assert {r["name"] for r in store.read().symbols.collect()} == {"main", "B", "C", "D"} and store.read().suppressions.count() == 1
+    outside = talk(Server(store.read(), roots={"": str(tmp_path / "other")}, allow_write=True))
+    assert "outside" in outside("rename_symbol", qualified_name="ex.com/w.B", new_name="X")
+    told = {(r["section"], r["name"], r["detail"]) for r in surface.call(store.read(), "summary").collect()}
+    assert ("description", "ex.com/w", "Does one thing.") in told and ("entry_point", "ex.com/w.main", None) in told
+
+
+def test_search_notes(g):
+    """Corrections and hints come with the lines."""
+    rows = surface.call(g, "search_text", pattern="sharedd").collect()
+    assert ("correction", "sharedd -> shared") in {(r["section"], r["text"]) for r in rows} and any(r["section"] == "line" for r in rows)
+    assert [r["section"] for r in surface.call(g, "search_text", pattern="no.such[x]+").collect()] == ["hint"]
+
+
 def test_command_line(spark, root, tmp_path, capsys):
     from graphloom.__main__ import main
 
