@@ -1,10 +1,12 @@
 """Line deduplication with two Bloom filters in front of the exact count.
 
 Three steps. (1) Every task hashes the lines it reads and deals the 8-byte hashes, each once per task or flagged as met
-twice there, to filter shards by hash. A shard keeps a Bloom filter of hashes seen once and one of hashes seen twice;
-the second, folded to its load, is its result. (2) Lines that the twice-seen filter may hold are suspected repeats; only
-these are shuffled, to count documents exactly and choose the occurrence that stays. (3) Documents with a suspect are
-joined with the keys they lose; all others were finished in step 2 and travel as one digest.
+twice there, to shards by hash; there are as many shards as the lines want. A shard keeps a Bloom filter of hashes seen
+once and one of hashes seen twice; the second, folded to its load, is its result. All of them together are folded to at
+most FILTER_BYTES and broadcast. (2) Lines that the twice-seen filter may hold are suspected repeats; only these are
+shuffled, to count documents exactly and choose the occurrence that stays. (3) A filter of the same bound holds the
+documents that lose lines; only their texts meet their lost lines by shuffle, all others are finished where they are read.
+A full filter lets more through, so beyond some 45 million repeated lines or documents more is shuffled, but nothing is lost.
 """
 
 from __future__ import annotations
@@ -18,17 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.bloom import BITS, Bloom, Filter, sharded
 from graphloom.llm.common import SPACE, binary, cut, pieces
 
 BLANK = SPACE.encode()
-#: Bits of a filter for each hash it is made for, and positions set for each.
-BITS, PROBES = 12, 5
-#: All shards' twice-seen filters are broadcast up to this size; above it suspects come from an exact count of hashes.
-BROADCAST_BYTES = 128 << 20
-#: Hashes a task holds before it passes them on.
-HOLD = 1 << 20
-SALTS = 16
-SHARDS = 4096
+#: Bytes of all that is broadcast of a filter.
+FILTER_BYTES = 64 << 20
+#: Hashes a task holds before it passes them on, and those that a shard is made for.
+HOLD, SHARD = 1 << 20, 1 << 19
 
 
 def key_of(line: bytes) -> bytes:
@@ -45,41 +44,13 @@ def keys_of(text: bytes | None, least: int) -> list[bytes]:
     return list(dict.fromkeys(k for line in (text or b"").split(b"\n") if len(line) >= least and is_long(k := key_of(line), least)))
 
 
-def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit numbers for each hash in a filter of a power of two bits."""
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return (hashes[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64(bits - 1)
-
-
-class Bloom:
-    def __init__(self, bits: int, words: np.ndarray | None = None) -> None:
-        self.bits = bits
-        self.words = np.zeros(bits // 8, np.uint8) if words is None else words
-
-    def add(self, hashes: np.ndarray) -> None:
-        p = positions(hashes, self.bits).ravel()
-        np.bitwise_or.at(self.words, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        p = positions(hashes, self.bits)
-        return ((self.words[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-    def folded(self, least: int = 64) -> Bloom:
-        """Halved, by OR of the halves, while under a fifth of the bits are set. Nothing held is lost."""
-        bits, words = self.bits, self.words
-        while bits > least and np.bitwise_count(words).sum() * 5 < bits // 2:
-            bits //= 2
-            words = words[: len(words) // 2] | words[len(words) // 2 :]
-        return Bloom(bits, words)
-
-
-def hashed(least: int):
+def hashed(least: int, shards: int):
     """(shard, hash, twice): hashes of the long lines; twice where this task met it in two documents."""
 
     def passed(held: list) -> Iterator[pa.RecordBatch]:
         if held:
             found, count = np.unique(np.array(held, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((found % np.uint64(SHARDS)).astype(np.int32)), pa.array(found.view(np.int64)), pa.array(count > 1)], names=["shard", "hash", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array((found % np.uint64(shards)).astype(np.int64)), pa.array(found.view(np.int64)), pa.array(count > 1)], names=["shard", "hash", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -103,7 +74,7 @@ def filtered(expected: int):
 
         def done():
             small = twice.folded()
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([small.bits], pa.int64()), pa.array([small.words.tobytes()], pa.binary())], names=["shard", "bits", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([small.bits], pa.int64()), pa.array([small.words.tobytes()], pa.binary())], names=["shard", "bits", "words"])
 
         for batch in batches:
             shards, hashes, flags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -126,45 +97,65 @@ def filtered(expected: int):
     return run
 
 
-class Suspects:
-    """The twice-seen filters of all shards."""
+def folded_to(most: int):
+    """Filters of at most `most` bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Bloom(b, np.frombuffer(w, np.uint8)) for b, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [one.halved(most) for one in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.bits for x in found], pa.int64()), pa.array([x.words.tobytes() for x in found], pa.binary())], names=["shard", "bits", "words"])
 
-    def __init__(self, rows: list) -> None:
-        self.by = {r["shard"]: Bloom(r["bits"], np.frombuffer(r["words"], np.uint8)) for r in rows}
+    return run
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out, shard = np.zeros(len(hashes), bool), hashes % np.uint64(SHARDS)
-        order = np.argsort(shard, kind="stable")
-        edges = [0, *(np.flatnonzero(np.diff(shard[order])) + 1), len(order)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if a < b and (one := self.by.get(int(shard[order[a]]))):
-                out[order[a:b]] = one.holds(hashes[order[a:b]])
-        return out
 
+def twice_seen(docs: DataFrame, least: int, limit: int) -> tuple[int, list[tuple[int, int, bytes]]]:
+    """The number of shards and their twice-seen filters, at most about `limit` bytes in all."""
+    kind = "shard long, bits long, words binary"
+    chars = docs.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    # No more lines than code points over the least length, dealt evenly by hash.
+    expected = 2 * chars // (least + 1) + 1
+    shards = max(64, -(-expected // SHARD))
+    dealt = docs.select("text").mapInArrow(hashed(least, shards), "shard long, hash long, twice boolean")
+    found = cut(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(filtered(expected // shards + 64), kind))
+    while (found.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0) > limit and (most := found.agg(F.max("bits").alias("n")).first()["n"]) > 64:
+        found = cut(found.mapInArrow(folded_to(most // 2), kind))
+    return shards, [(r["shard"], r["bits"], bytes(r["words"])) for r in found.collect()]
 
-def split_lines(least: int, suspects) -> callable:
-    """doc_id, n_lines, the digest where no line is suspect, else the text, and the suspect keys."""
-    found = suspects.value if suspects is not None else None
+
+def suspects_in(least: int, shared):
+    """doc_id, row and key of each suspected line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = Suspects(found) if found is not None else None
+        test = Filter(*shared.value)
         for batch in pieces(batches):
-            texts = [t or b"" for t in binary(batch.column(1))]
-            keys = [keys_of(t, least) for t in texts]
-            flat = np.fromiter((xxhash.xxh3_64_intdigest(k) for ks in keys for k in ks), np.uint64)
-            maybe, at, hits = test(flat) if test else np.ones(len(flat), bool), 0, []
-            for ks in keys:
-                hits.append([k for k, yes in zip(ks, maybe[at : at + len(ks)], strict=True) if yes])
-                at += len(ks)
+            keys = [keys_of(t, least) for t in binary(batch.column(2))]
+            maybe = test(np.fromiter((xxhash.xxh3_64_intdigest(k) for ks in keys for k in ks), np.uint64))
+            at = np.repeat(np.arange(len(keys)), [len(ks) for ks in keys])[maybe]
+            flat = [k for ks in keys for k in ks]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([flat[i] for i in np.flatnonzero(maybe)], pa.binary())], names=["doc_id", "row", "key"])
+
+    return run
+
+
+def split_lines(shared):
+    """doc_id, row, n_lines, and the digest where the document loses nothing, else the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = Filter(*shared.value)
+        for batch in pieces(batches):
+            texts = [t or b"" for t in binary(batch.column(3))]
+            maybe = test(batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()),
-                    pa.array([None if h else hashlib.sha256(t).hexdigest() for t, h in zip(texts, hits, strict=True)], pa.string()),
-                    pa.array([t if h else None for t, h in zip(texts, hits, strict=True)], pa.binary()),
-                    pa.array(hits, pa.list_(pa.binary())),
+                    pa.array([None if m else hashlib.sha256(t).digest() for t, m in zip(texts, maybe, strict=True)], pa.binary()),
+                    pa.array([t if m else None for t, m in zip(texts, maybe, strict=True)], pa.binary()),
                 ],
-                names=["doc_id", "n_lines", "sha", "raw", "suspects"],
+                names=["doc_id", "row", "n_lines", "sha", "raw"],
             )
 
     return run
@@ -174,50 +165,40 @@ def kept_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         ids, n_lines, shas, raws, losts = batch.columns
         dropped, out, texts = [], [], []
-        for n, sha, raw, lost in zip(n_lines.to_pylist(), shas.to_pylist(), raws.to_pylist(), losts.to_pylist(), strict=True):
+        for sha, raw, lost in zip(shas.to_pylist(), raws.to_pylist(), losts.to_pylist(), strict=True):
+            gone = 0
             if raw is not None:
-                lost = set(lost or ())
-                lines = [x for x in raw.split(b"\n") if key_of(x) not in lost] if lost else raw.split(b"\n")
-                n, raw = n - len(lines), b"\n".join(lines)
-                sha = hashlib.sha256(raw).hexdigest()
-            else:
-                n = 0
-            dropped.append(n)
-            out.append(sha)
-            texts.append(raw)
+                if lost:
+                    lost = set(lost)
+                    lines = raw.split(b"\n")
+                    kept = [x for x in lines if key_of(x) not in lost]
+                    gone, raw = len(lines) - len(kept), b"\n".join(kept)
+                sha = hashlib.sha256(raw).digest()
+            dropped.append(gone)
+            out.append(sha.hex())
+            texts.append(raw if gone else None)
         yield pa.RecordBatch.from_arrays([ids, n_lines, pa.array(dropped, pa.int64()), pa.array(out, pa.string()), pa.array(texts, pa.binary())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "changed"])
 
 
-def twice_seen(docs: DataFrame, least: int, limit: int) -> DataFrame | list:
-    """The shards' filters as rows, or a table of hashes where the filters would be over the limit."""
-    spark = docs.sparkSession
-    dealt = docs.select("text").mapInArrow(hashed(least), "shard int, hash long, twice boolean")
-    lines = docs.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    # No more lines than code points over the least length, dealt evenly by hash.
-    expected = 2 * lines // (least + 1) // SHARDS + 64
-    found = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(filtered(expected), "shard int, bits long, words binary")
-    found = cut(found)
-    if (found.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0) <= limit:
-        return spark.sparkContext.broadcast([r.asDict() for r in found.collect()])
-    return None
-
-
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 and changed (the kept text in UTF-8 where a line was suspect, else null).
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 and changed (the kept text in UTF-8 where lines were dropped, else null).
 
     A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at least min_chars code
     points found in at least min_docs documents lose all their lines except in the largest doc_id that holds them.
     A document is a row: rows that repeat a doc_id count each, and lines stay in all rows with the largest doc_id. Null
     doc_ids are below all others. Null and empty texts are one empty line. An empty table gives an empty result; columns
-    other than doc_id and text aren't read. If the filters don't fit broadcast_bytes, all long lines are suspects.
+    other than doc_id and text aren't read. filter_bytes bounds each broadcast filter; it doesn't change the result. A
+    text takes about six times its length in a worker.
     """
-    suspects = twice_seen(docs, min_chars, broadcast_bytes)
-    rows = docs.select("doc_id", "text").mapInArrow(split_lines(min_chars, suspects), "doc_id long, n_lines long, sha string, raw binary, suspects array<binary>")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    held = rows.where(F.size("suspects") > 0).select("doc_id", F.explode("suspects").alias("key"), salt.alias("salt"))
-    common = held.groupBy("key", "salt").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays")).groupBy("key").agg(F.sum("n").alias("n"), F.max("stays").alias("stays"))
-    common = cut(common.where(F.col("n") >= min_docs).select("key", "stays"))
-    each = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lost = held.join(each, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("stays"))).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("lost"))
-    joined = rows.drop("suspects").join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    context = docs.sparkSession.sparkContext
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    suspects = context.broadcast(twice_seen(docs, min_chars, filter_bytes))
+    held = cut(texts.mapInArrow(suspects_in(min_chars, suspects), "doc_id long, row long, key binary"))
+    common = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs)
+    # Both sides are dealt by the key alone, so the rows of a hot one can be split at run time.
+    lost = held.join(cut(common.select("key", "stays")), "key").where(~F.col("doc_id").eqNullSafe(F.col("stays")))
+    lost = cut(lost.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("key").alias("lost")))
+    losers = context.broadcast(sharded(lost.select(F.xxhash64("_id", "_row")), filter_bytes))
+    rows = texts.select("doc_id", "row", F.xxhash64("doc_id", "row"), "text").mapInArrow(split_lines(losers), "doc_id long, row long, n_lines long, sha binary, raw binary")
+    joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     return joined.select("doc_id", "n_lines", "sha", "raw", "lost").mapInArrow(kept_lines, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, changed binary")
