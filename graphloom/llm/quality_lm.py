@@ -4,8 +4,9 @@ The model is trained on trusted text. Counts of the highest order are summed by
 distinct n-grams one longer that end alike, and the interpolated probabilities come from joining every order's counts
 with its contexts' totals and with the next lower order's probabilities, all sharded by (language, n-gram). Scoring
 looks up the longest known n-gram at every byte, with the weights of the contexts left unmatched. The tables are
-broadcast while they have at most BROADCAST_ROWS rows; above it the documents' n-grams are joined with the sharded tables
-instead. A document is kept if its perplexity lies within quantiles of its language's trusted documents that the counts
+broadcast while they have at most BROADCAST_ROWS rows; above it the distinct n-grams of all documents are scored once by
+joins with the sharded tables, and each document's n-grams joined with their scores. Logarithms are whole numbers of
+1 / UNIT, taken where the tables are made, so sums don't depend on their order and both ways give the same bits. A document is kept if its perplexity lies within quantiles of its language's trusted documents that the counts
 leave out.
 """
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import binary, cut, pieces
 
 ORDER = 5
-BROADCAST_ROWS = 6_000_000
+BROADCAST_ROWS = 3_000_000
+#: Logarithms are counted in units of 1 / UNIT.
+UNIT = 1 << 24
 #: One in HELD of the trusted documents, by hash, gives quantiles instead of counts.
 HELD = 5
 #: Quantiles of the held-out trusted documents' perplexities, and how far beyond them a document may lie.
@@ -103,7 +106,8 @@ def discount(found: dict[str, tuple], count: Column, k: int | None = None) -> Co
 
 
 def train(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """(lang, n, g, p): interpolated probabilities; (lang, n, g, w): log weights of contexts g of n-grams of order n.
+    """(lang, n, g, p): interpolated probabilities; (lang, n, g, w): weights of contexts g of n-grams of order n. Both are
+    logarithms in units.
 
     trusted: lang, text; rows with null in either aren't used.
     """
@@ -116,7 +120,7 @@ def train(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
         found = discounts(counts[n])
         if not found:
             empty = counts[n].select("lang", F.lit(n).alias("n"), "g")
-            return empty.withColumn("p", F.lit(0.0)), empty.withColumn("w", F.lit(0.0))
+            return empty.withColumn("p", F.lit(0).cast("long")), empty.withColumn("w", F.lit(0).cast("long"))
         each = counts[n].withColumn("ctx", F.shiftright("g", 8))
         some = [F.count_if(F.col("c") == 1) * discount(found, None, 1), F.count_if(F.col("c") == 2) * discount(found, None, 2), F.count_if(F.col("c") >= 3) * discount(found, None, 3)]
         context = each.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), *(F.count_if(x).alias(f"k{k}") for k, x in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") >= 3))))
@@ -128,20 +132,31 @@ def train(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
         else:
             joined = joined.withColumn("q", F.lit(1 / 256))
         lower = cut(joined.select("lang", F.lit(n).alias("n"), "g", ((F.col("c") - discount(found, F.col("c"))) / F.col("total") + F.col("gamma") * F.col("q")).alias("p")))
-        own = context.select("lang", F.lit(n).alias("n"), F.col("ctx").alias("g"), F.log("gamma").alias("w"))
-        probabilities = lower if probabilities is None else probabilities.unionByName(lower)
+        own = context.select("lang", F.lit(n).alias("n"), F.col("ctx").alias("g"), units(F.log("gamma")).alias("w"))
+        found = lower.select("lang", "n", "g", units(F.log("p")).alias("p"))
+        probabilities = found if probabilities is None else probabilities.unionByName(found)
         weights = own if weights is None else weights.unionByName(own)
         lower = lower.select("lang", F.col("g").alias("rest"), F.col("p").alias("q"))
     return probabilities, cut(weights)
 
 
+def units(log: Column) -> Column:
+    return F.round(log * UNIT).cast("long")
+
+
+#: The logarithm of any byte's probability where nothing is known, in units, less its sign.
+UNIFORM = round(np.log(256) * UNIT)
+
+
 class Table:
-    """Open addressing from n-grams to numbers, looked up for whole arrays."""
+    """Open addressing from n-grams to whole numbers, looked up for whole arrays."""
+
+    NONE = np.iinfo(np.int64).min
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
         self.keys = np.full(1 << self.bits, ~np.uint64(0))
-        self.values = np.full(1 << self.bits, np.nan, np.float32)
+        self.values = np.full(1 << self.bits, self.NONE)
         todo, slot = np.arange(len(keys)), self.slot(keys)
         while len(todo):
             free = self.keys[slot] == ~np.uint64(0)
@@ -155,11 +170,11 @@ class Table:
         return ((keys ^ (keys >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """The values, nan where a key isn't there."""
+        """The values, NONE where a key isn't there."""
         slot = self.slot(keys)
         out, have = self.values[slot], self.keys[slot]
         todo = np.flatnonzero((have != keys) & (have != ~np.uint64(0)))
-        out[have != keys] = np.nan
+        out[have != keys] = self.NONE
         slot = slot[todo]
         while len(todo):
             slot = (slot + 1) & ((1 << self.bits) - 1)
@@ -174,33 +189,34 @@ class Table:
 class Scorer:
     def __init__(self, probabilities: dict, weights: dict, order: int) -> None:
         self.order = order
-        self.p = {k: Table(g, np.log(p).astype(np.float32)) for k, (g, p) in probabilities.items()}
-        self.w = {k: Table(g, w.astype(np.float32)) for k, (g, w) in weights.items()}
+        self.p = {k: Table(*x) for k, x in probabilities.items()}
+        self.w = {k: Table(*x) for k, x in weights.items()}
         self.languages = {lang for lang, _ in self.p}
 
     def sums(self, lang: str, texts: list[bytes]) -> np.ndarray:
-        """Log-likelihood of each text."""
-        out = np.zeros(len(texts))
+        """Log-likelihood of each text in units."""
+        out = np.zeros(len(texts), np.int64)
         for a, b in chunks(texts):
             g, text = grams(texts[a:b], self.order)
-            score, todo = np.zeros(len(g)), np.arange(len(g))
+            score, todo = np.zeros(len(g), np.int64), np.arange(len(g))
             for n in range(self.order, 0, -1):
                 here = g[todo] & np.uint64((1 << 8 * n) - 1)
                 found = self.p[lang, n](here)
-                miss = np.isnan(found)
+                miss = found == Table.NONE
                 score[todo[~miss]] += found[~miss]
                 todo = todo[miss]
                 if not len(todo):
                     break
                 # A context never seen leaves all its weight to the next order.
-                score[todo] += np.nan_to_num(self.w[lang, n](here[miss] >> np.uint64(8)), nan=0.0)
-            score[todo] -= np.log(256)
-            out[a:b] += np.bincount(text, score, minlength=b - a)
+                weight = self.w[lang, n](here[miss] >> np.uint64(8))
+                score[todo] += np.where(weight == Table.NONE, 0, weight)
+            score[todo] -= UNIFORM
+            np.add.at(out[a:b], text, score)
         return out
 
 
 def scored_by_broadcast(docs: DataFrame, probabilities: DataFrame, weights: DataFrame, order: int) -> DataFrame:
-    """doc_id, lang, trust columns and perplexity."""
+    """doc_id, lang, total (log-likelihood in units) and size in bytes; null for texts without either."""
     tables = []
     for frame, column in ((probabilities, "p"), (weights, "w")):
         found = frame.select("lang", "n", "g", column).toArrow()
@@ -213,19 +229,23 @@ def scored_by_broadcast(docs: DataFrame, probabilities: DataFrame, weights: Data
         one = Scorer(*shared.value, order)
         for batch in pieces(batches):
             lang, texts = batch.column(1).to_pylist(), [t or b"" for t in binary(batch.column(2))]
-            out: list = [None] * len(texts)
+            total: list = [None] * len(texts)
             for x in set(lang) & one.languages:
                 at = [i for i, y in enumerate(lang) if y == x and texts[i]]
-                for i, s in zip(at, one.sums(x, [texts[i] for i in at]), strict=True):
-                    out[i] = float(np.exp(-s / len(texts[i])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "lang", "perplexity"])
+                for i, t in zip(at, one.sums(x, [texts[i] for i in at]).tolist(), strict=True):
+                    total[i] = t
+            size = [None if t is None else len(x) for t, x in zip(total, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "lang", "total", "size"])
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, perplexity double")
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, total long, size long")
 
 
 def scored_by_join(docs: DataFrame, probabilities: DataFrame, weights: DataFrame, order: int) -> DataFrame:
-    """The same with the tables sharded: each document's distinct n-grams are joined order by order."""
-    kind = "doc_id long, lang string, row long, g long, k long"
+    """The same with the tables sharded: distinct n-grams are scored order by order, once for all documents."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in counted(order)(pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["lang", "text"]) for b in batches):
+            yield batch.select(["lang", "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
@@ -235,25 +255,28 @@ def scored_by_join(docs: DataFrame, probabilities: DataFrame, weights: DataFrame
                     same = [pa.array([x] * len(g), t) for x, t in ((doc_id, pa.int64()), (lang, pa.string()), (row, pa.int64()))]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(g.view(np.int64)), pa.array(k)], names=["doc_id", "lang", "row", "g", "k"])
 
+    known = F.broadcast(probabilities.select("lang").distinct())
     rows = docs.select("doc_id", "lang", F.xxhash64("lang", "text").alias("row"), "text")
-    todo = rows.mapInArrow(run, kind).withColumn("s", F.lit(0.0))
-    sums = []
+    todo = rows.where("text is not null and lang is not null").select("lang", "text").mapInArrow(distinct, "lang string, g long").distinct().join(known, "lang")
+    todo, scores = todo.select("lang", "g", F.col("g").alias("whole"), F.lit(0).cast("long").alias("s")), None
     for n in range(order, 0, -1):
         p = probabilities.where(F.col("n") == n).select("lang", "g", "p")
         w = weights.where(F.col("n") == n).select("lang", F.col("g").alias("ctx"), "w")
         tried = cut(todo.withColumn("g", F.col("g").bitwiseAND((1 << 8 * n) - 1)).join(p, ["lang", "g"], "left"))
-        sums.append(tried.where("p is not null").select("doc_id", "lang", "row", "k", (F.col("s") + F.log("p")).alias("s")))
+        found = tried.where("p is not null").select("lang", "whole", (F.col("s") + F.col("p")).alias("s"))
+        scores = found if scores is None else scores.unionByName(found)
         todo = tried.where("p is null").drop("p").withColumn("ctx", F.shiftright("g", 8)).join(w, ["lang", "ctx"], "left")
         # A context never seen leaves all its weight to the next order.
-        todo = todo.select("doc_id", "lang", "row", "g", "k", (F.col("s") + F.coalesce("w", F.lit(0.0))).alias("s"))
-    sums.append(todo.select("doc_id", "lang", "row", "k", (F.col("s") - F.log(F.lit(256.0))).alias("s")))
-    every = sums[0]
-    for x in sums[1:]:
-        every = every.unionByName(x)
-    # k counts bytes, and rows that are the same add to both sums alike.
-    each = every.groupBy("doc_id", "lang", "row").agg(F.exp(-F.sum(F.col("k") * F.col("s")) / F.sum("k")).alias("perplexity"))
-    each = each.join(F.broadcast(probabilities.select("lang").distinct()), "lang").withColumnsRenamed({"doc_id": "_d", "row": "_r", "lang": "_l"})
-    return rows.drop("text").join(each, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left").select("doc_id", "lang", "perplexity")
+        todo = todo.select("lang", "g", "whole", (F.col("s") + F.coalesce("w", F.lit(0))).alias("s"))
+    scores = scores.unionByName(todo.select("lang", "whole", (F.col("s") - UNIFORM).alias("s"))).withColumnRenamed("whole", "g")
+    each = rows.mapInArrow(run, "doc_id long, lang string, row long, g long, k long").join(scores, ["lang", "g"])
+    # Rows that are the same add to both sums alike.
+    alike = rows.groupBy("doc_id", "lang", "row").agg(F.count("*").alias("n")).withColumnsRenamed({"doc_id": "_d", "row": "_r", "lang": "_l"})
+    sums = each.groupBy(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("row").alias("_r")).agg(F.sum(F.col("k") * F.col("s")).alias("total"), F.sum("k").alias("size"))
+    same = F.struct("_d", "_l", "_r")
+    sums = sums.withColumn("same", same).drop("_d", "_l", "_r").join(alike.withColumn("same", same), "same")
+    sums = sums.select("_d", "_r", F.expr("total div n").alias("total"), F.expr("size div n").alias("size"))
+    return rows.drop("text").join(sums, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left").select("doc_id", "lang", "total", "size")
 
 
 def quality_lm(docs: DataFrame, trusted: DataFrame, order: int = ORDER, low: float = LOW, high: float = HIGH, slack: float = SLACK, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -273,7 +296,8 @@ def quality_lm(docs: DataFrame, trusted: DataFrame, order: int = ORDER, low: flo
     probabilities, weights = train(own.where(~held).join(names, F.col("doc_id") == F.col("_id"), "left_semi"), order)
     small = probabilities.limit(limit + 1).count() + weights.limit(limit + 1).count() <= limit
     score = scored_by_broadcast if small else scored_by_join
-    scored = cut(score(own, probabilities, weights, order))
+    perplexity = F.exp(-F.col("total") / UNIT / F.col("size")).alias("perplexity")
+    scored = cut(score(own, probabilities, weights, order).select("doc_id", "lang", perplexity))
     bounds = scored.where(held).join(names, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("lang").agg(*(F.percentile_approx("perplexity", q, 10000).alias(k) for k, q in (("low", low), ("high", high))))
     # A row for each language that has trusted text.
     bounds = F.broadcast(bounds.select(F.col("lang").alias("_l"), (F.col("low") / slack).alias("low"), (F.col("high") * slack).alias("high")))
