@@ -14,7 +14,6 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +22,6 @@ from graphloom.llm.common import binary, cut, lower_ascii, one_of_each, pieces
 #: Bytes that a map task folds before it passes them on, and that a trie may hold, with what objects take besides text.
 FOLD_BYTES, TRIE_BYTES = 16 << 20, 64 << 20
 ROW, NODE = 300, 500
-#: Number of parts a digest's rows are dealt into for the join that tells every row its group.
-SALTS = 16
-
 GROUPS = "digest binary, text binary, round int, best long, n long"
 ENTRY = pa.schema([("digest", pa.binary()), ("text", pa.binary()), ("round", pa.int32()), ("best", pa.int64()), ("n", pa.int64())])
 
@@ -210,15 +206,14 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         ids, texts = batch.column(0), binary(batch.column(1))
         found = [hashlib.sha256(lower_ascii(t or b"")).digest() for t in texts]
-        salt = [xxhash.xxh32_intdigest(str(x)) % SALTS for x in ids.to_pylist()]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary()), pa.array(salt, pa.int32()), batch.column(2)], names=["doc_id", "digest", "salt", "row"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "digest", "row"])
 
 
 def joined(docs: DataFrame, keep: str, fold: int, budget: int) -> DataFrame:
     """doc_id, row (the text's hash), digest, best, n for every row of docs; the last two are null for a text of its own."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(digests, "doc_id long, digest binary, salt int, row long")
-    many = groups(docs, keep, fold, budget).where("n > 1 or best is null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(many, ["digest", "salt"], "left")
+    rows = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(digests, "doc_id long, digest binary, row long")
+    # Both sides are dealt by the digest alone, so the rows of a hot group can be split at run time.
+    return rows.join(groups(docs, keep, fold, budget).where("n > 1 or best is null"), "digest", "left")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest", fold: int = FOLD_BYTES, budget: int = TRIE_BYTES) -> DataFrame:
