@@ -10,7 +10,7 @@ every lane exceeds the radius. Buckets over LARGE are split again by parts of th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ QUARTERS = [0xFFFF << s for s in (0, 16, 32, 48)]
 PAIRS = [a | b for a, b in combinations(QUARTERS, 2)]
 #: Fingerprints in a bucket before it is split further, and lanes compared at a time.
 LARGE, LANES = 2048, 1 << 16
-#: Links in a partition of the loop that finds components.
-PART_ROWS = 200_000
+#: Links in a partition of the loop that finds components, and links whose nodes' least neighbours are broadcast.
+PART_ROWS, BROADCAST_LINKS = 200_000, 500_000
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> list[bytes]:
@@ -126,10 +126,8 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.repeat(np.arange(len(size)), size)
         small = np.repeat((size > 1) & (size <= LARGE), size)
         a, b = near(fps[small], group[small])
-        some = [(fps[small][a], fps[small][b])]
-        for k in np.flatnonzero(size > LARGE):
-            some += bucket_links(fps[edges[k] : edges[k + 1]], PAIRS[int(pair[edges[k]])])
-        for a, b in some:
+        large = (bucket_links(fps[edges[k] : edges[k + 1]], PAIRS[int(pair[edges[k]])]) for k in np.flatnonzero(size > LARGE))
+        for a, b in chain([(fps[small][a], fps[small][b])], chain.from_iterable(large)):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["a", "b"])
 
@@ -157,17 +155,25 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each component, by alternating large-star and small-star steps (Kiveris et al.).
 
-    Edges are a and b, in either order. Each step is a checkpoint; rounds end when the edges stay as they are.
+    Edges are a and b, in either order. Each step is a checkpoint; rounds end when the edges stay as they are. The least
+    neighbours of nodes are found by sums of each task and joined to the edges by broadcast while these are few, else
+    from a checkpoint of their own: both sides are then dealt for the join alone, and a star's edges split at run time.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     # Neither step adds edges, so as many partitions as these rows want are enough for all rounds.
-    parts, before = edges.count() // PART_ROWS + 1, None
+    size = edges.count()
+    parts, before = size // PART_ROWS + 1, None
+
+    def lowest(rows: DataFrame) -> DataFrame:
+        least = rows.groupBy("a").agg(F.min("b").alias("low"))
+        return F.broadcast(least) if size <= BROADCAST_LINKS else cut(least)
+
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("low", "a"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
+        large = both.where("b > a").join(lowest(both), "a").select(F.col("b").alias("a"), F.least("low", "a").alias("b")).distinct()
+        if size > BROADCAST_LINKS:
+            large = cut(large)
+        small = large.join(lowest(large), "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         edges = cut(small.where("a <> b").distinct().coalesce(parts))
         now = edges.agg(F.count("*"), *(F.sum(x.cast("decimal(38,0)")) for x in (F.col("a"), F.col("b"), F.xxhash64("a", "b")))).first()
         if now == before:

@@ -197,7 +197,9 @@ def test_bit_sliced_links(monkeypatch, large):
     assert got == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [simhash.BROADCAST_LINKS, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST_LINKS", most)
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)]
     root = {}
@@ -532,6 +534,26 @@ def test_language(spark):
     assert [r["h"] for r in folds] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)]
 
 
+def test_language_in_parts(monkeypatch):
+    """A text read in parts gives what it gives as a whole; offsets count the original's code points."""
+    import pyarrow as pa
+
+    counts, scripts = {}, {}
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa", "bb"]), pa.array(["banana kana mabana " * 9, "thrix oplix grix " * 9])], names=["lang", "text"])
+    for rows in language_id.counted(iter([batch])):
+        lang, slots = rows.column(0)[0].as_py(), np.zeros(language_id.BUCKETS + len(language_id.NAMES), np.int64)
+        slots[rows.column(1).to_numpy()] = rows.column(2).to_numpy()
+        counts[lang], scripts[lang] = slots[: language_id.BUCKETS], slots[language_id.BUCKETS :]
+    model = language_id.Model(counts, scripts)
+    texts = ["banana kana\nmabana! thrix oplix grix thrix grix", "", None, "İİİ banana kana banana", "x" * 40, "kana"]
+    whole = model.predict(texts, 2.0, True)
+    assert [s["lang"] for s in whole[3][0]] == ["aa", "bb"] and texts[3][whole[3][3][0]["from"] : whole[3][3][0]["to"]].endswith("kana banana")
+    monkeypatch.setattr(language_id, "CHUNK", 16)
+    got = model.predict([t for t in texts if t != "x" * 40], 2.0, True)
+    assert got == tuple([x for x, t in zip(column, texts, strict=True) if t != "x" * 40] for column in whole)
+    assert "".join(part for _, part in language_id.cut_up("x" * 40, 16)) == "x" * 40
+
+
 def test_viterbi_matches_search():
     rng = np.random.default_rng(0)
     model = language_id.Model({"a": np.ones(language_id.BUCKETS, np.int64), "b": np.ones(language_id.BUCKETS, np.int64)}, {"a": np.ones(len(language_id.NAMES)), "b": np.ones(len(language_id.NAMES))})
