@@ -38,6 +38,11 @@ def has_stem(tokens: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([any(stem(t) == w for t in ts) for ts, w in zip(tokens, wanted, strict=True)])
 
 
+def beginning(tokens: str, head: str) -> Column:
+    """The tokens that begin with head."""
+    return F.filter(tokens, lambda x: F.startswith(x, F.lit(head)))
+
+
 def symbol_matches(symbols: DataFrame, pattern: str, runs: bool = False) -> DataFrame:
     """Symbols for which some alternative has all its terms, as a stemmed token of any column or a prefix of the name.
 
@@ -47,24 +52,23 @@ def symbol_matches(symbols: DataFrame, pattern: str, runs: bool = False) -> Data
     shipped(symbols.sparkSession)
     text = F.lower(F.concat_ws(" ", "qualified_name", "name", "kind", "receiver", "signature", "doc"))
     rows = symbols.withColumn("_tokens", F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+")))
-    found = F.lit(False)
+    may, found = [], []
     for terms in terms_of(pattern):
         if runs:
             terms = [r for t in terms for r in re.findall(r"\w+", t)]
-        every = F.lit(bool(terms))
-        for term in terms:
-            low = term.lower()
-            tokens = [t for t in re.split(r"[\W_]+", low) if t]
-            whole = F.lit(bool(tokens))
-            for t in tokens:
-                s = stem(t)
-                # Steps of the stemmer change at most the last letters of what they leave.
-                head = s[: max(1, len(s) - 2)]
-                near = F.filter("_tokens", lambda x, head=head: F.startswith(x, F.lit(head)))
-                whole = whole & F.when(F.size(near) > 0, has_stem(near, F.lit(s))).otherwise(False)
-            every = every & (F.startswith(F.lower("name"), F.lit(low)) | whole)
-        found = found | every
-    return rows.where(found).drop("_tokens")
+        may_all, all_ = [], []
+        for low in map(str.lower, terms):
+            named = F.startswith(F.lower("name"), F.lit(low))
+            stems = [stem(t) for t in re.split(r"[\W_]+", low) if t]
+            # Steps of the stemmer change at most the last letters of what they leave.
+            near = [beginning("_tokens", s[: max(1, len(s) - 2)]) for s in stems]
+            may_all.append(named | (all_of([F.size(x) > 0 for x in near]) if stems else F.lit(False)))
+            all_.append(named | (all_of([has_stem(x, F.lit(s)) for x, s in zip(near, stems, strict=True)]) if stems else F.lit(False)))
+        if terms:
+            may.append(all_of(may_all))
+            found.append(all_of(all_))
+    # The first filter has no Python in it, so it runs before the stemmer.
+    return rows.where(any_of(may)).where(any_of(found)).drop("_tokens")
 
 
 # -- files -----------------------------------------------------------------------------------------------------------

@@ -182,9 +182,18 @@ def search_substring(t):
     return L.search_substring(t.graph(sites=False), "p15")
 
 
-@query()
+#: Tokens of a symbol's columns, and those that have the stem of "rings".
+TOKENS = r"regexp_split_to_array(lower(concat_ws(' ', qualified_name, name, kind, receiver, signature, doc)), '[^\p{L}\p{N}]+')"
+RINGS = "['ring', 'rings', 'ringed', 'ringing']"
+
+
+@query(f"""{WITH}, f AS (SELECT *, {TOKENS} AS w FROM sym WHERE NOT is_test AND NOT is_generated),
+p AS (SELECT *, 0 AS pass FROM f WHERE starts_with(lower(name), 'p15') OR list_contains(w, 'p15') OR starts_with(lower(name), 'rings') OR list_has_any(w, {RINGS})
+UNION ALL SELECT *, 2 FROM f WHERE contains(lower(concat_ws(chr(0), name, qualified_name, signature, doc)), 'p15|rings')),
+one AS (SELECT qualified_name, kind, signature, pos_file, pos_line, exported, min(pass) AS pass FROM p GROUP BY ALL)
+SELECT qualified_name, kind, signature, pos_file, pos_line, CAST(row_number() OVER (ORDER BY NOT exported, CASE WHEN kind IN ('function', 'method') THEN 0 WHEN kind IN ('type', 'interface', 'alias') THEN 1 ELSE 2 END, pass, qualified_name, pos_file, pos_line) AS INT) AS rank FROM one""")
 def search_symbols(t):
-    """All three passes; the token pass stems, which SQL can't say."""
+    """All three passes; SQL has the inflections of a term for its stem."""
     return L.search(t.graph(sites=False), "P15|rings", generated="exclude")
 
 
@@ -578,10 +587,32 @@ def search_lexicon(t):
     return T.lexicon(Graph(symbols=t.symbols))
 
 
-@query()
+def share_sql(k: int, phrase: str) -> tuple[str, str, str]:
+    """A phrase's count in a file, its document frequency, and its part of the score."""
+    count = f"(length(content) - length(replace(lower(content), '{phrase}', ''))) / {len(phrase)} AS f{k}"
+    return count, f"count(*) FILTER (contains(lower(content), '{phrase}')) AS d{k}", f"ln(1 + (n - d{k} + 0.5) / (d{k} + 0.5)) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * size / mean))"
+
+
+def search_text_sql() -> str:
+    (c0, d0, s0), (c1, d1, s1) = share_sql(0, "thing eaon"), share_sql(1, "letion")
+    has = lambda c: f"(contains({c}, 'thing eaon') OR contains({c}, 'letion'))"
+    low = lambda c, x: f"contains(lower({c}), '{x}')"
+    latest = lambda x: f"max(CASE WHEN {low('text', x)} THEN line END) OVER (PARTITION BY path ORDER BY line ROWS UNBOUNDED PRECEDING)"
+    return f"""WITH f AS (SELECT path, content, greatest(length(content) - 2, 0) AS size, {c0}, {c1} FROM {FILE} WHERE content IS NOT NULL), st AS (SELECT count(*) AS n, avg(size) AS mean, {d0}, {d1} FROM f),
+sc AS (SELECT path, content, {s0} + {s1} AS score FROM f, st WHERE {has('content')}), fl AS (SELECT path, score, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT path, score, string_split(content, chr(10)) AS l FROM sc)),
+fts AS (SELECT path, line, text, row_number() OVER (ORDER BY round(score, 9) DESC, path, line) AS rank FROM fl WHERE {has('text')} ORDER BY rank LIMIT 100),
+hl AS (SELECT path, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT path, string_split(content, chr(10)) AS l FROM f WHERE {low('content', 'thing')} AND {low('content', 'eaon')} OR {low('content', 'letion')})),
+hn AS (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM hl WHERE {low('text', 'thing')} OR {low('text', 'eaon')} OR {low('text', 'letion')}), sub AS (SELECT path, line, text, row_number() OVER (ORDER BY n DESC, path, line) AS rank FROM hn ORDER BY rank LIMIT 100),
+u AS (SELECT *, 'fts' AS source FROM fts UNION ALL SELECT *, 'substring' FROM sub), fu AS (SELECT path, line, min(text) AS text, sum(1.0 / (60 + rank)) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM u GROUP BY path, line),
+wl AS (SELECT path, line, {latest('thing')} AS a, {latest('eaon')} AS b FROM fu), w AS (SELECT path, min(line - least(a, b) + 1) AS w FROM wl WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY path),
+sd AS (SELECT fu.path, line, text, score * CASE WHEN w IS NULL THEN 1.0 ELSE least(2.0, 1.0 + 1.0 / w) END AS score, sources FROM fu LEFT JOIN w ON fu.path = w.path)
+SELECT path, CAST(line AS INT) AS line, text, round(score, 9) AS score, sources, CAST(row_number() OVER (ORDER BY score DESC, path, line) AS INT) AS rank FROM sd"""
+
+
+@query(search_text_sql())
 def search_text(t):
     """Both strategies fused, reranked by proximity."""
-    return T.search_text(Graph(files=t.sql(A.FILES)), "thing eaon|letion")
+    return T.search_text(Graph(files=t.sql(A.FILES)), "thing eaon|letion").withColumn("score", F.round("score", 9))
 
 
 # -- contracts -------------------------------------------------------------------------------------------------------
