@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -58,13 +60,21 @@ def suppress(suppressions: DataFrame, from_ref: str, to_ref: str) -> DataFrame:
     return suppressions.select("from_ref", "to_ref").unionByName(one).distinct()
 
 
+class Conflict(RuntimeError):
+    """Another writer has made a newer snapshot."""
+
+
 class Store:
     """Snapshots of a graph below one folder, on any file system Spark writes to.
 
-    A write goes to a new folder; only when all its relations are complete does the pointer table name it. Readers see
-    the old snapshot or the new one. Pointer entries are numbered, and the highest complete one counts.
+    Rows are written to new folders only. A snapshot is a numbered file that names its folders and, for each and by
+    relation, the repositories whose rows there no longer count; it is made once those folders are complete, and only if no other
+    writer took its number. Readers see the old snapshot or the new one. Replacing a repository writes its own rows
+    alone; after FOLDERS folders all are written together again.
     """
 
+    FOLDERS = 16
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
@@ -76,47 +86,90 @@ class Store:
     def versions(self) -> list[str]:
         """Names of the snapshots, oldest first."""
         fs, path = self._fs(f"{self.root}/current")
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n for n in names if n.isdigit())
+
+    def folders(self, version: str) -> list[dict]:
+        """What a snapshot consists of: folder, and without, the repositories left out of it by relation."""
+        text = "".join(r["value"] for r in self.spark.read.text(f"{self.root}/current/{version}", wholetext=True).collect())
+        return json.loads(text) if text else []
+
+    def _point(self, folders: list[dict], after: str | None) -> str:
+        """A snapshot of these folders, the next one after `after`."""
+        name = f"{int(after) + 1 if after else 0:08d}"
+        fs, path = self._fs(f"{self.root}/current/{name}")
+        if fs.exists(path):
+            raise Conflict(f"snapshot {name} of {self.root} was made meanwhile")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"snapshot {name} of {self.root} was made meanwhile") from e
+            raise
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+        return name
 
-    def write(self, graph: Graph) -> str:
-        """All relations of a new snapshot; its name."""
-        name = f"{len(self.versions()):08d}-{uuid.uuid4().hex[:8]}"
+    def _rows(self, graph: Graph) -> str:
+        """A new folder with the relations of a graph."""
+        folder = uuid.uuid4().hex
         for relation in SCHEMAS:
             rows = getattr(graph, relation)
             if rows is not None:
                 writer = rows.write.mode("overwrite")
-                (writer.partitionBy("repo") if "repo" in rows.columns else writer).parquet(f"{self.root}/data/{name}/{relation}")
-        fs, _ = self._fs(self.root)
-        fs.mkdirs(self._fs(f"{self.root}/current")[1])
-        if not fs.createNewFile(self._fs(f"{self.root}/current/{name}")[1]):
-            raise FileExistsError(name)
-        return name
+                (writer.partitionBy("repo") if "repo" in rows.columns else writer).parquet(f"{self.root}/data/{folder}/{relation}")
+        return folder
+
+    def write(self, graph: Graph) -> str:
+        """All relations as a new snapshot; its name. Raises Conflict if another writer was faster."""
+        after = (self.versions() or [None])[-1]
+        return self._point([{"folder": self._rows(graph), "without": {}}], after)
 
-    def read(self) -> Graph:
+    def read(self, version: str | None = None) -> Graph:
         """The newest snapshot; relations that weren't written are empty."""
         names = self.versions()
         if not names:
             raise FileNotFoundError(f"{self.root} has no snapshot")
-        base, out = f"{self.root}/data/{names[-1]}", {}
-        for relation, ddl in SCHEMAS.items():
-            fs, path = self._fs(f"{base}/{relation}")
-            schema = StructType.fromDDL(ddl)
-            out[relation] = self.spark.read.parquet(f"{base}/{relation}") if fs.exists(path) and any(not s.getPath().getName().startswith("_") for s in fs.listStatus(path)) else self.spark.createDataFrame([], schema)
-        return Graph(**out)
-
-    def replace_repo(self, repo: str, new: Graph) -> str:
-        """A snapshot in which the rows of one repository come from `new` and all others stay."""
-        old, merged = self.read(), {}
-        for relation in SCHEMAS:
-            a, b = getattr(old, relation), getattr(new, relation)
-            if a is None or b is None:
-                merged[relation] = a if b is None else b
+        folders = self.folders(version or names[-1])
+        return Graph(**{relation: self._relation(relation, folders) for relation in SCHEMAS})
+
+    def _relation(self, relation: str, folders: list[dict]) -> DataFrame:
+        owner, out = "module_path" if relation == "repos" else "repo", None
+        for f in folders:
+            base = f"{self.root}/data/{f['folder']}/{relation}"
+            fs, path = self._fs(base)
+            if not fs.exists(path) or all(s.getPath().getName().startswith("_") for s in fs.listStatus(path)):
                 continue
-            owner = "module_path" if relation == "repos" else "repo"
-            if owner in a.columns:
-                keep = a.where(~F.col(owner).eqNullSafe(F.lit(repo)))
-                add = b.where(F.col(owner).eqNullSafe(F.lit(repo)))
-                merged[relation] = keep.unionByName(add, allowMissingColumns=True)
-            else:
-                merged[relation] = a
-        return self.write(Graph(**merged))
+            rows = self.spark.read.parquet(base)
+            if owner in rows.columns:
+                rows = rows.withColumn(owner, F.col(owner).cast("string"))
+                if gone := f["without"].get(relation):
+                    rows = rows.where(~F.coalesce(F.col(owner).isin(gone), F.lit(False)))
+            elif out is not None:
+                continue  # relations of no repository come from the oldest folder
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return self.spark.createDataFrame([], StructType.fromDDL(SCHEMAS[relation])) if out is None else out
+
+    def replace_repo(self, repo: str, new: Graph, tries: int = 5) -> str:
+        """A snapshot in which the rows of one repository come from `new` and all others stay.
+
+        Only the repository's rows are written; relations that `new` doesn't have stay as they are. If another writer is faster, the snapshot is made anew from that one's.
+        """
+        own = {}
+        for relation in SCHEMAS:
+            rows, owner = getattr(new, relation), "module_path" if relation == "repos" else "repo"
+            if rows is not None and owner in rows.columns:
+                own[relation] = rows.where(F.col(owner) == repo)
+        folder = self._rows(Graph(**own))
+        for k in range(tries):
+            version = self.versions()[-1]
+            old = self.folders(version)
+            folders = [{"folder": f["folder"], "without": f["without"] | {r: sorted({*f["without"].get(r, ()), repo}) for r in own}} for f in old] + [{"folder": folder, "without": {}}]
+            if len(folders) > self.FOLDERS:
+                folders = [{"folder": self._rows(Graph(**{r: self._relation(r, folders) for r in SCHEMAS})), "without": {}}]
+            try:
+                return self._point(folders, version)
+            except Conflict:
+                if k == tries - 1:
+                    raise
+        raise Conflict(repo)

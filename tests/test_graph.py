@@ -217,3 +217,37 @@ def test_sinks(spark):
     one = S.merge_edges(spark.createDataFrame(uses[:1], USES))
     row = S.union_edges(one, S.merge_edges(spark.createDataFrame(uses, USES))).collect()
     assert len(row) == 1 and (row[0]["pos_file"], len(row[0]["sites"]), row[0]["sites"][0]["file"]) == ("b.go", 3, "a.go")
+
+
+def test_store_conflicts_and_folders(spark, tmp_path, monkeypatch):
+    """A snapshot's number is taken once; replacing writes one repository; folders are put together after some time."""
+    from graphloom.model import SCHEMAS, Graph
+
+    def graph(rows):
+        whole = Graph.empty(spark)
+        whole.files = spark.createDataFrame(rows, SCHEMAS["files"])
+        return whole
+
+    store = S.Store(spark, f"file://{tmp_path}/store")
+    first = store.write(graph([("a", "1", "r"), ("b", "1", "s"), ("c", "1", "007")]))
+    for taken in (None, first):
+        if taken is not None:
+            store._point([], taken)
+        with pytest.raises(S.Conflict):
+            store._point([], taken)
+    store = S.Store(spark, f"file://{tmp_path}/other")
+    store.write(graph([("a", "1", "r"), ("b", "1", "s"), ("c", "1", "x")]))
+    point, lost = S.Store._point, []
+
+    def beaten(self, folders, after):
+        """Another writer comes first, once."""
+        if not lost:
+            lost.append(point(self, self.folders(after), after))
+        return point(self, folders, after)
+
+    monkeypatch.setattr(S.Store, "_point", beaten)
+    monkeypatch.setattr(S.Store, "FOLDERS", 2)
+    for k, repo in enumerate(("r", "s", "r")):
+        store.replace_repo(repo, graph([("n", str(k), repo), ("stray", "", "elsewhere")]))
+    assert {tuple(r) for r in store.read().files.select("path", "content", "repo").collect()} == {("n", "2", "r"), ("n", "1", "s"), ("c", "1", "x")}
+    assert len(lost) == 1 and len(store.folders(store.versions()[-1])) <= 2 and len(store.versions()) == 5
