@@ -22,10 +22,17 @@ def shipped(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from the shared checkpoint folder from now on."""
+    """The same rows, computed once and read from the shared checkpoint folder from now on.
+
+    Without spark.checkpoint.dir a local folder does on a local master; elsewhere other machines couldn't read it.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
