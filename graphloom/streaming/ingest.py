@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.plans.materialize import cut
 from graphloom.sources.go_source import index
 from graphloom.sources.sinks import Store
 
@@ -21,22 +24,30 @@ def latest(files: DataFrame) -> DataFrame:
 def follow(spark: SparkSession, changes: str, history: str, store: Store, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """A query that reads file versions (FILES, as Parquet) from `changes`.
 
-    A batch appends to the history of versions and then re-indexes the repositories it touched from their latest files;
-    names resolve across a repository, so it is replaced as a whole. A batch that runs again writes the same rows: its
-    part of the history is overwritten by its number.
+    A batch re-indexes the repositories it touched; names resolve across a repository, so it is replaced as a whole.
+    Versions are kept below `history`, a folder for each repository, so a batch reads what the repositories it touches
+    have had, and of the store writes only their rows. A batch that runs again does the same again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        touched = [r["repo"] for r in batch.select("repo").distinct().collect()]
-        every = latest(session.read.schema(FILES).parquet(f"{history}/*"))
-        for repo in touched:
-            graph = index(every.where(F.col("repo") == repo).select("path", "content", "repo", "root"))
-            if store.versions():
-                store.replace_repo(repo, graph)
-            else:
-                store.write(graph)
+        batch = batch.persist()
+        try:
+            # A row for each repository of one micro-batch.
+            for row in batch.groupBy("repo").agg(F.count("*").alias("n")).collect():
+                repo = row["repo"]
+                # Names have slashes in them.
+                path = f"{history}/{hashlib.sha256(repo.encode()).hexdigest()}"
+                batch.where(F.col("repo") == repo).drop("repo").write.mode("overwrite").parquet(f"{path}/batch={number}")
+                every = session.read.schema(FILES.replace("repo string, ", "")).parquet(f"{path}/*").withColumn("repo", F.lit(repo))
+                files = cut(latest(every))
+                graph = index(files.select("path", "content", "repo", "root"))
+                if store.versions():
+                    store.replace_repo(repo, graph)
+                else:
+                    store.write(graph)
+        finally:
+            batch.unpersist()
 
     stream = spark.readStream.schema(FILES).parquet(changes)
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
