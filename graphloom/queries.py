@@ -311,7 +311,7 @@ b AS (SELECT qualified_name, min(way) AS way FROM u GROUP BY qualified_name)
 SELECT qualified_name, CASE way WHEN 0 THEN 'signature' WHEN 1 THEN 'embeds' ELSE 'references' END AS how, row_number() OVER (ORDER BY way, qualified_name) AS rank FROM b""")
 def type_usage(t):
     name = t.symbols.where("kind = 'type' and pos_line < 97").agg(F.min("qualified_name")).first()[0]
-    return L.type_usage(t.graph(sites=False), name)
+    return L.type_usage(t.looped(), name)
 
 
 FACE = "(SELECT min(to_ref) FROM edge JOIN sym ON to_ref = qualified_name WHERE edge_type = 'satisfies' AND kind = 'interface')"
@@ -322,9 +322,10 @@ m AS (SELECT qualified_name, name, substr(qualified_name, 1, length(qualified_na
 w AS (SELECT DISTINCT name FROM m WHERE owner IN (SELECT node FROM c)), i AS (SELECT DISTINCT from_ref AS owner FROM edge WHERE edge_type = 'satisfies' AND to_ref = {FACE})
 SELECT i.owner AS implementer, x.qualified_name AS method FROM i LEFT JOIN (SELECT * FROM m WHERE name IN (SELECT name FROM w)) x ON x.owner = i.owner""")
 def interface_impls(t):
-    faces = t.symbols.where("kind = 'interface'").select(F.col("qualified_name").alias("to_ref"))
-    name = t.bare_edges.where("edge_type = 'satisfies'").join(faces, "to_ref", "left_semi").agg(F.min("to_ref")).first()[0]
-    return L.interface_impls(t.graph(sites=False), name)
+    g = t.looped()
+    faces = g.symbols.where("kind = 'interface'").select(F.col("qualified_name").alias("to_ref"))
+    name = g.edges.where("edge_type = 'satisfies'").join(faces, "to_ref", "left_semi").agg(F.min("to_ref")).first()[0]
+    return L.interface_impls(g, name)
 
 
 @query(f"""{WITH}, p AS (SELECT path FROM pkg WHERE NOT is_test), c AS (SELECT to_ref AS path, count(DISTINCT from_ref) AS importers FROM site WHERE edge_type = 'imports' AND NOT suffix(file, '_test.go') AND from_ref IN (SELECT path FROM p) AND to_ref NOT IN (SELECT path FROM p) GROUP BY to_ref)
@@ -359,12 +360,12 @@ SELECT from_ref, to_ref, edge_type, level + 1 AS level, to_ref NOT IN (SELECT n
 
 @query(traverse_sql("to_ref", "from_ref", 3, "'calls', 'references'"))
 def callers_of(t):
-    return G.callers_of(t.graph(sites=False), named(t, "P51"), 3, ("calls", "references")).where("not dispatch").drop("dispatch")
+    return G.callers_of(t.looped(), named(t, "P51"), 3, ("calls", "references")).where("not dispatch").drop("dispatch")
 
 
 @query(traverse_sql("from_ref", "to_ref", 2, "'calls', 'references', 'satisfies', 'embeds', 'imports', 'contract'"))
 def callees_of(t):
-    return G.callees_of(t.graph(sites=False), named(t, "P51"), 2)
+    return G.callees_of(t.looped(), named(t, "P51"), 2)
 
 
 METHOD = "(SELECT min(qualified_name) FROM sym WHERE kind = 'method' AND k % 2 = 1 AND receiver <> '')"
@@ -373,7 +374,7 @@ METHOD = "(SELECT min(qualified_name) FROM sym WHERE kind = 'method' AND k % 2 =
 @query(f"""{WITH}, m AS (SELECT package_path || '.' || receiver AS recv FROM sym WHERE qualified_name = {METHOD}) SELECT from_ref, to_ref, edge_type FROM edge JOIN m ON to_ref = recv WHERE edge_type IN ('references', 'satisfies', 'embeds') AND from_ref <> recv AND NOT starts_with(from_ref, recv || '.')""")
 def dispatch_rows(t):
     name = t.symbols.where("kind = 'method' and pos_line % 2 = 1 and receiver <> ''").agg(F.min("qualified_name")).first()[0]
-    return G.dispatch(t.graph(sites=False), name)
+    return G.dispatch(t.looped(), name)
 
 
 REACH = f"""{WITH}, root AS (SELECT qualified_name AS node FROM sym WHERE NOT is_test AND exported), r(node) AS (SELECT node FROM root UNION SELECT to_ref FROM r JOIN edge ON from_ref = node AND edge_type IN ('calls', 'references', 'satisfies', 'embeds'))"""
@@ -381,14 +382,14 @@ REACH = f"""{WITH}, root AS (SELECT qualified_name AS node FROM sym WHERE NOT is
 
 @query(REACH + " SELECT node FROM r")
 def reachable(t):
-    g = t.graph(sites=False)
+    g = t.looped()
     return G.reachable(g, G.roots(g))
 
 
 @query(f"""{WITH}, e AS (SELECT from_ref, to_ref FROM edge WHERE edge_type = 'calls'), r(node) AS (SELECT {START} UNION SELECT to_ref FROM r JOIN e ON from_ref = node) SELECT node FROM r""")
 def reachable_calls(t):
     start = t.symbols.where("name = 'P51'").select(F.col("qualified_name").alias("node"))
-    return G.reachable(t.graph(sites=False), start, ("calls",))
+    return G.reachable(t.looped(), start, ("calls",))
 
 
 @query(f"""{WITH}, root AS (SELECT qualified_name AS node FROM sym WHERE NOT is_test AND exported), e AS (SELECT * FROM edge),
@@ -398,7 +399,7 @@ di AS (SELECT e.from_ref || '.' || me.name AS q FROM me JOIN r ON r.node = me.qu
 SELECT qualified_name, kind, signature, pos_file, pos_line FROM sym WHERE NOT is_test AND NOT exported AND NOT is_generated AND qualified_name NOT IN (SELECT node FROM r) AND qualified_name NOT IN (SELECT q FROM di)
 AND NOT (kind = 'method' AND substr(qualified_name, 1, length(qualified_name) - length(name) - 1) IN (SELECT qualified_name FROM sym WHERE kind = 'interface' AND NOT is_test))""")
 def unused(t):
-    return G.unused(t.graph(sites=False))
+    return G.unused(t.looped())
 
 
 FAR = "(SELECT qualified_name FROM sym WHERE name = 'P77')"
@@ -410,7 +411,7 @@ pt AS MATERIALIZED (SELECT a.node, a.level, min((e.from_ref, e.edge_type)) AS p
 back(step, from_ref, to_ref, edge_type) AS (SELECT level, p[1], node, p[2] FROM pt WHERE node = {FAR} UNION ALL SELECT level, p[1], node, p[2] FROM back JOIN pt ON node = from_ref)
 SELECT step, from_ref, to_ref, edge_type FROM back""".replace("min((e.from_ref, e.edge_type))", "min(row(e.from_ref, e.edge_type))"))
 def find_path(t):
-    return G.find_path(t.graph(sites=False), named(t, "P51"), named(t, "P77"))
+    return G.find_path(t.looped(), named(t, "P51"), named(t, "P77"))
 
 
 @query(f"""{WITH}, e AS MATERIALIZED (SELECT DISTINCT from_ref AS near, to_ref AS far FROM edge WHERE edge_type = 'calls'),
@@ -418,7 +419,7 @@ p(head, last, path, n) AS (SELECT near, far, [near], 1 FROM e WHERE far >= near
 SELECT array_to_string(path, ' ') AS cycle, n AS length, true AS truncated FROM p WHERE last = head ORDER BY n, path LIMIT 1000""")
 def cycles(t):
     """The thousand shortest; both sides pass that number at a length of 7, however large the tables."""
-    return G.cycles(t.graph(sites=False), "calls").select(F.array_join("cycle", " ").alias("cycle"), "length", "truncated")
+    return G.cycles(t.looped(), "calls").select(F.array_join("cycle", " ").alias("cycle"), "length", "truncated")
 
 
 TARGET = "(SELECT min(to_ref) FROM edge WHERE edge_type = 'imports' AND to_ref IN (SELECT path FROM pkg))"
@@ -445,21 +446,21 @@ PLAIN = "(SELECT min(path) FROM pkg WHERE NOT is_test)"
 
 @query(f"""{WITH}, {IMPORTS}, lv(node, level) AS (SELECT {PLAIN}, 0 UNION SELECT far, level + 1 FROM lv JOIN imp ON near = node WHERE level < 12) SELECT node AS path, min(level) AS level FROM lv GROUP BY node HAVING min(level) > 0""")
 def transitive_imports(t):
-    return G.transitive_imports(t.graph(), t.sql(A.PACKAGES).where(~F.col("is_test")).agg(F.min("path")).first()[0])
+    return G.transitive_imports(t.looped(True), t.sql(A.PACKAGES).where(~F.col("is_test")).agg(F.min("path")).first()[0])
 
 
 @query(f"""{WITH}, {IMPORTS}, tr(node) AS (SELECT {PLAIN} UNION SELECT far FROM tr JOIN imp ON near = node)
 SELECT DISTINCT 'imports' AS section, to_ref AS path FROM site WHERE edge_type = 'imports' AND NOT suffix(file, '_test.go') AND from_ref = {PLAIN}
 UNION SELECT 'importers', from_ref FROM site WHERE edge_type = 'imports' AND NOT suffix(file, '_test.go') AND to_ref = {PLAIN} UNION SELECT 'transitive', node FROM tr WHERE node <> {PLAIN}""")
 def dependency_flow(t):
-    return G.dependency_flow(t.graph(), t.sql(A.PACKAGES).where(~F.col("is_test")).agg(F.min("path")).first()[0])
+    return G.dependency_flow(t.looped(True), t.sql(A.PACKAGES).where(~F.col("is_test")).agg(F.min("path")).first()[0])
 
 
 @query(f"""{WITH}, {IMPORTS}, tr(near, far) AS (SELECT near, far FROM imp UNION SELECT tr.near, imp.far FROM tr JOIN imp ON tr.far = imp.near), ring AS MATERIALIZED (SELECT near AS node FROM tr WHERE near = far),
 high AS MATERIALIZED (SELECT node FROM ring UNION SELECT near FROM tr WHERE far IN (SELECT node FROM ring)),
 lv(node, level) AS (SELECT path, 0 FROM pkg WHERE NOT is_test UNION SELECT near, level + 1 FROM lv JOIN imp ON far = node WHERE near NOT IN (SELECT node FROM high)) SELECT node AS path, max(level) AS level FROM lv GROUP BY node""")
 def dependency_layers(t):
-    return G.dependency_layers(t.graph())
+    return G.dependency_layers(t.looped(True))
 
 
 @query(f"""{WITH}, {IMPORTS}, i AS (SELECT far AS path, count(*) AS fan_in FROM imp GROUP BY far), o AS (SELECT near, count(*) AS fan_out FROM imp GROUP BY near)
@@ -473,12 +474,12 @@ SELECT q AS symbol, (SELECT count(*) FROM edge WHERE to_ref = q AND edge_type IN
 (SELECT count(*) FROM edge JOIN m ON to_ref = node) AS transitive_callers, (SELECT count(*) FROM edge WHERE to_ref = q AND edge_type = 'satisfies') AS implementations, (SELECT count(*) FROM edge WHERE to_ref = q AND edge_type = 'embeds') AS embedders, CAST(0 AS BIGINT) AS type_users FROM s""")
 def blast_radius(t):
     name = t.symbols.where("kind = 'function'").agg(F.min("qualified_name")).first()[0]
-    return G.blast_radius(t.graph(sites=False), name, depth=2)
+    return G.blast_radius(t.looped(), name, depth=2)
 
 
 @query(f"""{WITH} SELECT qualified_name, kind, pos_file, pos_line, 'uncalled_exported' AS reason FROM sym WHERE NOT is_test AND exported AND kind IN ('function', 'method') AND qualified_name NOT IN (SELECT to_ref FROM edge WHERE edge_type IN ('calls', 'references'))""")
 def entry_points(t):
-    return G.entry_points(t.graph(sites=False))
+    return G.entry_points(t.looped())
 
 
 @query(f"""{WITH}, cf AS (SELECT min(pos_file) AS f FROM sym WHERE NOT is_test), ce AS (SELECT from_ref, to_ref, min(file) AS file FROM (SELECT from_ref, to_ref, edge_type, arg_min(file, (file, line, col)) AS file FROM site WHERE edge_type IN ('calls', 'references') GROUP BY ALL) GROUP BY ALL),
@@ -489,14 +490,14 @@ sb AS (SELECT replace(f, '.go', '_test.go') AS file FROM cf)
 SELECT file, 'callers' AS reason FROM h UNION SELECT file, 'convention' FROM sb WHERE file IN (SELECT pos_file FROM sym) AND file NOT IN (SELECT file FROM h)""")
 def affected_tests(t):
     file = t.symbols.where(~F.col("is_test")).agg(F.min("pos_file")).first()[0]
-    return G.affected_tests(t.graph(), [file], depth=2).select("file", "reason")
+    return G.affected_tests(t.looped(True), [file], depth=2).select("file", "reason")
 
 
 @query(f"""{WITH}, x AS (SELECT * FROM sym WHERE name = 'P51'), r AS (SELECT 0 AS o, 'symbol' AS section, qualified_name AS ref, signature || ' ' || doc AS t FROM x UNION ALL SELECT 1, 'callees', to_ref, edge_type FROM edge WHERE from_ref = {START} UNION ALL SELECT 2, 'callers', from_ref, edge_type FROM edge WHERE to_ref = {START}
 UNION ALL SELECT 3, 'same_file', sym.qualified_name, sym.signature FROM sym JOIN x ON sym.pos_file = x.pos_file WHERE sym.name <> 'P51'), k AS (SELECT *, (strlen(ref) + strlen(t)) // 4 + 8 AS tokens FROM r)
 SELECT section, ref, tokens, o = 0 OR sum(tokens) OVER (ORDER BY o, ref, t ROWS UNBOUNDED PRECEDING) <= 400 AS kept FROM k""")
 def context_bundle(t):
-    return G.context_bundle(t.graph(sites=False), named(t, "P51"), 400)
+    return G.context_bundle(t.looped(), named(t, "P51"), 400)
 
 
 RANKS = """n AS (SELECT DISTINCT qualified_name AS node FROM sym WHERE NOT is_test AND NOT is_generated), e AS (SELECT from_ref AS near, to_ref AS far FROM edge WHERE edge_type IN ('calls', 'references', 'satisfies') AND from_ref IN (SELECT node FROM n) AND to_ref IN (SELECT node FROM n)),
@@ -517,7 +518,7 @@ def importance_sql(rounds: int = 100, every: int = 5) -> str:
 
 @query(importance_sql())
 def importance(t):
-    return R.importance(t.graph(sites=False)).withColumn("score", F.round("score", 9))
+    return R.importance(t.looped()).withColumn("score", F.round("score", 9))
 
 
 @query(f"""{WITH}, c AS ({A.CHURN}) SELECT qualified_name, complexity, churn_count, round(complexity * ln(churn_count + 1), 6) AS risk, CAST(row_number() OVER (ORDER BY complexity * ln(churn_count + 1) DESC, qualified_name) AS INT) AS rank

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
+from graphloom.plans.materialize import cut
 from graphloom.sources import sinks
 
 PARTS = """
@@ -123,6 +124,12 @@ class Tables:
         """The graph; without sites, edges are bare and cost less."""
         return Graph(repos=self.sql(REPOS), packages=self.sql(PACKAGES), symbols=self.symbols, edges=self.edges if sites else self.bare_edges, files=self.sql(FILES), diagnostics=self.sql(DIAGNOSTICS), contracts=self.sql(CONTRACTS), suppressions=self.sql(SUPPRESSIONS))
 
+    def looped(self, sites: bool = False) -> Graph:
+        """The graph for operators that read edges and symbols again and again: both are computed once."""
+        g = self.graph(sites)
+        g.edges, g.symbols = cut(g.edges), cut(g.symbols)
+        return g
+
 
 def _named(text: str, names: list[str]) -> str:
     """SQL whose table names are parameters of spark.sql."""
