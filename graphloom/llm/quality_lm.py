@@ -6,8 +6,8 @@ with its contexts' totals and with the next lower order's probabilities, all sha
 looks up the longest known n-gram at every byte, with the weights of the contexts left unmatched. The tables are
 broadcast while they have at most BROADCAST_ROWS rows; above it the distinct n-grams of all documents are scored once by
 joins with the sharded tables, and each document's n-grams joined with their scores. Logarithms are whole numbers of
-1 / UNIT, taken where the tables are made, so sums don't depend on their order and both ways give the same bits. A document is kept if its perplexity lies within quantiles of its language's trusted documents that the counts
-leave out.
+1 / UNIT, taken where the tables are made, so sums don't depend on their order and both ways give the same bits. A
+document is kept if its perplexity lies within quantiles of its language's trusted documents that the counts leave out.
 """
 
 from __future__ import annotations
