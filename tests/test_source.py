@@ -13,6 +13,7 @@ from graphloom.operators import delta as D
 from graphloom.operators import fulltext as T
 from graphloom.operators import pattern as P
 from graphloom.operators import runtime as R
+from graphloom.plans.materialize import dealt
 from graphloom.sources import go_source as S
 from graphloom.sources import vcs, workspace
 from graphloom.sources.golang.extract import facts, integer, wire_name
@@ -433,3 +434,20 @@ def test_command_line(spark, root, tmp_path, capsys):
     assert main(["query", f"file://{tmp_path}/store", "callers_of", "qualified_name=ex.com/m/a.dead", "depth=1", "--format", "json"]) == 0
     assert {r["from_ref"] for r in json.loads(capsys.readouterr().out)["callers_of"]} == {"ex.com/m/a.use", "ex.com/m/a.TestUse"}
     assert main(["query", f"file://{tmp_path}/store", "callers_of", "qualified_name=nope"]) == 1
+
+
+def test_large_file(monkeypatch):
+    """Comments are found where they are needed: the work for a declaration doesn't grow with the file."""
+    from graphloom.sources.golang.syntax import Lines
+
+    calls, at = [0], Lines.at
+    monkeypatch.setattr(Lines, "at", lambda self, offset: (calls.__setitem__(0, calls[0] + 1), at(self, offset))[1])
+    text = "package p\n" + "".join(f"\n// F{k} is one.\n// And more.\nfunc F{k}() {{}} // not this\n" for k in range(500))
+    out = facts("/p/x.go", text, "m", "m/p")
+    assert [s["doc"] for s in out["symbols"]] == [f"F{k} is one.\nAnd more." for k in range(500)]
+    assert calls[0] < 20 * 500
+
+
+def test_files_dealt(spark, g):
+    """Sources that compress well are still parsed by all cores."""
+    assert dealt(g.files).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
