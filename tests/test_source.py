@@ -448,6 +448,13 @@ def test_large_file(monkeypatch):
     assert calls[0] < 20 * 500
 
 
+def test_index_without_edges(spark, root, g):
+    bare = S.index(S.read_files(spark, str(root)), edges=False)
+    assert bare.edges is None
+    assert sorted(r[0] for r in bare.symbols.select("qualified_name").collect()) == sorted(r[0] for r in g.symbols.select("qualified_name").collect())
+    assert sorted(map(tuple, bare.spans.collect())) == sorted(map(tuple, g.spans.collect()))
+
+
 def test_files_dealt(spark, g):
     """Sources that compress well are still parsed by all cores."""
     assert dealt(g.files).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
