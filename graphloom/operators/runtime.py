@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from graphloom.model import Graph
 from graphloom.operators.contracts import constants_of
 from graphloom.operators.lookup import enclosing
-from graphloom.plans.materialize import shipped
-from graphloom.sources.golang.syntax import Lines, Node, SyntaxProblem, parse
+from graphloom.plans.materialize import cut, dealt, shipped
+from graphloom.sources.golang.syntax import Lines, Node, SyntaxProblem, parse, uncollected
 
 #: Rules (regular expression, replacement) of the built-in normalisers, in order.
 REDIS_RULES = ((r"\d{4}-\d{2}-\d{2}", "{date}"), (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "{ip}"), (r"[a-f0-9-]{36}", "{id}"), (r"<[^>]+>", ":{name}"), (r"%[sdv]", ":{name}"))
@@ -150,10 +150,12 @@ def sites(files: DataFrame, e: Extractor) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-        for batch in batches:
-            rows = [(p, r, line, d, v, how) for p, c, r in zip(*(x.to_pylist() for x in batch.columns), strict=True) for d, v, line, how in scan(e, c or "")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["file", "repo", "line", "direction", "value", "how"])
+        with uncollected():
+            for path, content, repo in (x for b in batches for x in zip(*b.columns, strict=True)):
+                p, r = path.as_py(), repo.as_py()
+                rows = [(p, r, line, d, v, how) for d, v, line, how in scan(e, content.as_py() or "")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["file", "repo", "line", "direction", "value", "how"])
 
     gated = files.select("path", "content", "repo")
     if e.imports:
@@ -162,7 +164,7 @@ def sites(files: DataFrame, e: Extractor) -> DataFrame:
         gated = gated.where(F.col("content").rlike("|".join(words)))
     elif e.const_prefix:
         gated = gated.where(F.contains("content", F.lit(e.const_prefix)))
-    return gated.mapInArrow(run, "file string, repo string, line int, direction string, value string, how string")
+    return dealt(gated).mapInArrow(run, "file string, repo string, line int, direction string, value string, how string")
 
 
 def runtime_contracts(g: Graph, extractors: tuple[Extractor, ...] = DEFAULTS) -> DataFrame:
@@ -174,7 +176,8 @@ def runtime_contracts(g: Graph, extractors: tuple[Extractor, ...] = DEFAULTS) ->
     every, constants = None, constants_of(g.symbols)
     package = g.symbols.groupBy(F.col("pos_file").alias("_file")).agg(F.min("package_path").alias("_package"))
     for e in extractors:
-        found = sites(g.files, e)
+        # Read for each way of naming and again for what encloses them, but files are parsed once.
+        found = cut(sites(g.files, e))
         names = found.where("how = 'name'").join(package, F.col("file") == F.col("_file"))
         bare = names.where("not contains(value, '.')").join(constants.select("ref", F.col("value").alias("v")), F.concat("_package", F.lit("."), "value") == F.col("ref"))
         base = constants.select(F.concat(F.substring_index("package_path", "/", -1), F.lit("."), "name").alias("ref"), F.col("value").alias("v"))

@@ -458,3 +458,9 @@ def test_index_without_edges(spark, root, g):
 def test_files_dealt(spark, g):
     """Sources that compress well are still parsed by all cores."""
     assert dealt(g.files).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("search", [R.runtime_contracts])
+def test_parsed_once(g, search):
+    """What files gave is kept before it is joined with itself; nothing is parsed again for the result."""
+    assert "MapInArrow" not in search(g)._jdf.queryExecution().optimizedPlan().toString()
